@@ -13,8 +13,9 @@ t of its tokens counted twice or more has no link at all.
    with.  That is linear and finds what hangs together in large groups of copies.
 3. Groups are joined by prefix token, filtered by size and token position, only where they
    hold different components so far; the group pairs are expanded into members and every
-   member pair is verified.  So no link between components is lost, and pairs within a component
-   that is known already are never made.
+   member pair is verified.  Where more than ``HOT`` groups hold a token, blocks of holders are
+   compared in place instead of being joined.  So no link between components is lost, and
+   pairs within a component that is known already are never made.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer than five words
 make one shingle of the whole sequence; rows with a null doc_id link like others but give
@@ -39,6 +40,8 @@ from paperloom.llm._words import buffers, whole_hash, window_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
+HOT = 64  # tokens with more holders are compared block by block
+HOT_BLOCK = 384
 
 
 def _shingle_sets(table: pa.Table, k: int) -> list[np.ndarray]:
@@ -115,6 +118,64 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(components(links).withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("label", "uid")).drop("label")
 
 
+def _hot_links(rows: DataFrame, hot: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the holders of each token that very many share.
+
+    The holders are dealt into blocks, and a task compares two blocks: it counts
+    common tokens in place and returns only links that join components not joined yet, so what it
+    returns is linear in its input, however many pairs it has compared.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / HOT_BLOCK).cast("int")
+    dealt = lambda salt, n: F.pmod(F.xxhash64("gid", "comp", F.lit(salt)), F.col(n)).cast("int")
+    at = rows.join(hot, "token").withColumn("nx", blocks("m_brief")).withColumn("ny", blocks("m"))
+    x = at.where("brief").select("token", "gid", "comp", F.lit(True).alias("brief"), dealt(1, "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
+    y = at.select("token", "gid", "comp", F.lit(False).alias("brief"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), dealt(2, "ny").alias("by"))
+    tasks = x.unionByName(y).join(comps, ["gid", "comp"]).join(reps.select("uid", "tokens"), "uid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        brief = np.asarray(table["brief"].combine_chunks())
+        uid, comp = (np.asarray(table[c].combine_chunks()) for c in ("uid", "comp"))
+        lists = table["tokens"].combine_chunks()
+        ends = np.asarray(lists.offsets, dtype=np.int64)
+        _, local = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+        sets = [local[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
+        sizes = np.diff(ends)
+        # the component with most holders comes last, and its own members skip it
+        mine = np.flatnonzero(~brief)
+        names, counts = np.unique(comp[mine], return_counts=True)
+        main = names[np.argmax(counts)] if len(names) else -1
+        mine = mine[np.argsort(comp[mine] == main, kind="stable")]
+        others = int((comp[mine] != main).sum())
+        flat = np.concatenate([sets[i] for i in mine]) if len(mine) else local[:0]
+        starts = np.concatenate([[0], np.cumsum(sizes[mine])])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        mark = np.zeros(int(local.max(initial=-1)) + 1, dtype=np.int32)
+        a, b = [], []
+        for i in np.flatnonzero(brief):
+            upto = others if comp[i] == main else len(mine)
+            if not upto:
+                continue
+            mark[sets[i]] = 1
+            common = np.add.reduceat(mark[flat[: starts[upto]]], starts[:upto])
+            mark[sets[i]] = 0
+            for j in np.flatnonzero((100 * common >= percent * (sizes[i] + sizes[mine[:upto]] - common)) & (comp[mine[:upto]] != comp[i])):
+                u, v = find(int(comp[i])), find(int(comp[mine[j]]))
+                if u != v:
+                    root[u] = v
+                    a.append(int(uid[i]))
+                    b.append(int(uid[mine[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.groupBy("token", "bx", "by").applyInArrow(compare, "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
     sets = _sets(docs, id_col, text_col, shingle, percent)
@@ -137,19 +198,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = materialize(_verified(within.union(nearest), reps, percent))
     comps = materialize(_labelled(members, first))
 
-    # the rest, exactly: pairs of groups that share a token and hold different components
+    # the rest, exactly: pairs that share a token and belong to different components
     held = comps.select("gid", "comp").distinct()
     rows = materialize(prefix.join(held, "gid").select("token", "gid", "comp", "n", "pos"))
-    mixed = materialize(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-    rows = rows.join(mixed, "token", "left_semi")
-    x = rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "comp", "n", "pos")])
-    y = rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "comp", "n", "pos")])
+    # a smaller set needs only the first n - ceil(2t/(1+t) n) + 1 of its tokens to meet a larger one
+    brief = F.col("pos") <= F.expr(f"n - (({2 * percent} * n + {99 + percent}) div {100 + percent})")
+    per_token = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(brief.cast("long")).alias("m_brief"))
+    mixed = materialize(per_token.where("lo < hi AND m_brief > 0").select("token", "m", "m_brief"))
+
+    few = rows.join(mixed.where(F.col("m") <= HOT), "token", "left_semi")
+    x = few.where(brief).select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "comp", "n", "pos")])
+    y = few.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "comp", "n", "pos")])
     most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1)
-    fits = (F.col("comp_x") < F.col("comp_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
+    smaller = F.struct("n_x", "gid_x", "comp_x") < F.struct("n_y", "gid_y", "comp_y")
+    fits = smaller & (F.col("comp_x") != F.col("comp_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
     pairs = materialize(x.join(y, "token").where(fits).select("gid_x", "comp_x", "gid_y", "comp_y").distinct())
     side = lambda c, s: comps.select(F.col("uid").alias(c), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"))
     expanded = pairs.join(side("a", "x"), ["gid_x", "comp_x"]).join(side("b", "y"), ["gid_y", "comp_y"])
     second = _verified(expanded.select("a", "b"), reps, percent)
+    second = second.unionByName(_hot_links(rows.withColumn("brief", brief), mixed.where(F.col("m") > HOT), comps, reps, percent))
     of = lambda c: comps.select(F.col("uid").alias(c), F.col("comp").alias(f"comp_{c}"))
     between = materialize(second.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
     final = comps.select("uid", F.col("comp").alias("c")).join(components(between).select(F.col("node").alias("c"), "label"), "c", "left").select("uid", F.coalesce("label", "c").alias("c"))
