@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -181,6 +182,10 @@ class Vocabulary:
         return self.blob[at[:-1]].tobytes()
 
 
+def _pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder(dict):
     """Texts to ids as little-endian unsigned 32-bit integers; the dict caches words."""
 
@@ -193,7 +198,7 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        out = np.array(self.encode_word(word), dtype="<u4").tobytes()
+        out = _pack_ids(self.encode_word(word))
         if len(word) <= 64:
             self[word] = out
         return out
@@ -222,13 +227,11 @@ def backtracking(path: str) -> tuple[Vocabulary, Encoder]:
 
 
 def by_library(path: str) -> Encoder:
-    """An encoder whose words the tokenizers library encodes; for checks and for packing."""
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
+    """The same, but the tokenizers library's model merges each word."""
     with open(path, encoding="utf-8") as f:
         added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-    return Encoder(path, added, lambda w: t.encode(w, add_special_tokens=False).ids)
+    merge = Tokenizer.from_file(path).model.tokenize
+    return Encoder(path, added, lambda w: [t.id for t in merge(w.encode().decode("latin-1").translate(_SYMBOLS))])
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

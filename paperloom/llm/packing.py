@@ -59,17 +59,17 @@ def _tokenize(path: str, end_id: int):
 
 
 def _ids(row_ids: pa.Scalar, wide: bool) -> np.ndarray:
-    return np.frombuffer(row_ids.as_buffer(), dtype="<u4" if wide else "<u2").astype(np.int64)
+    return np.frombuffer(row_ids.as_buffer(), dtype="<u4" if wide else "<u2").copy()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for x, w in zip(batch["ids"], batch["wide"].to_pylist(), strict=True):
-            seen = np.bincount(_ids(x, w)) > 0
-            if len(seen) > len(total):
-                total = np.pad(total, (0, len(seen) - len(total)))
-            total[: len(seen)] += seen
+            seen = np.unique(np.frombuffer(x.as_buffer(), dtype="<u4" if w else "<u2"))
+            if seen[-1] >= len(total):
+                total = np.pad(total, (0, int(seen[-1]) + 1 - len(total)))
+            total[seen] += 1
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"token": pa.array(at), "df": pa.array(total[at])})
 
@@ -88,10 +88,9 @@ class _Shard:
         terms, items, counts = [], [], []
         for i, x in enumerate(self.ids):
             if self.left[i]:
-                c = np.bincount(x)
-                t = np.flatnonzero(c)
-                terms.append(t)
-                counts.append(c[t])
+                t, c = np.unique(x, return_counts=True)
+                terms.append(t.astype(np.int64))
+                counts.append(c)
                 items.append(np.full(len(t), i, dtype=np.int64))
         if not terms:
             self.weights, self.items, self.edges, self.by_item = np.zeros(0), np.zeros(0, np.int64), np.zeros(len(idf) + 1, np.int64), {}
