@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 _END = "</w>"
 _LAST = 0x1000  # added to a byte's code point where the byte ends a word
 
@@ -57,7 +57,9 @@ _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 _LATIN_L = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _LATIN_N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = r"\t-\r \x85\xa0"
-_LATIN = re.compile(rf"{_SUFFIXES}|[{_LATIN_L}]+|[{_LATIN_N}]|[^{_SPACE}{_LATIN_L}{_LATIN_N}]+")
+# The branches differ in their first character, but for an apostrophe, so letters may come first.
+_LATIN = re.compile(rf"[{_LATIN_L}]+|[{_LATIN_N}]|{_SUFFIXES}|[^{_SPACE}{_LATIN_L}{_LATIN_N}]+")
+_ASCII = re.compile(rf"[a-z]+|[0-9]|{_SUFFIXES}|[^\t-\r a-z0-9]+")
 _BEYOND = re.compile(r"[^\x00-ɏ]")
 
 
@@ -70,11 +72,11 @@ class Splitter:
         self.split = pre_tokenizers.Split(Regex(rf"{_SUFFIXES}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"), "removed", invert=True).pre_tokenize_str
 
     def words(self, text: str) -> list[str]:
+        if text.isascii():
+            return _ASCII.findall(text.lower())
         if _BEYOND.search(text):
             return [w for w, _ in self.split(self.normalize(text))]
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return _LATIN.findall(text.lower())
+        return _LATIN.findall(unicodedata.normalize("NFC", text).lower())
 
 
 class Vocabulary:
@@ -206,7 +208,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.cut is None or not self.cut.search(text):
+        if not any(a in text for a in self.added):
             return b"".join(map(self.__getitem__, self.words(text)))
         out, at = [], 0
         for m in self.cut.finditer(text):
