@@ -317,3 +317,105 @@ def nested_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("ord"), F.concat(F.repeat(F.concat("n_name", F.lit(" | ")), 1 + F.col("n_nationkey") % 9), F.col("n_name")).alias("h"))
     x = classify.numbered(n, "n_regionkey", "number")
     return x.select(F.col("ord").alias("n_nationkey"), classify.nested_marker(F.col("number"), F.col("h")).alias("marker"))
+
+
+# --- documents ----------------------------------------------------------------------------
+
+from paperloom.plans import convert  # noqa: E402
+from paperloom.sources import decode, samples, scan  # noqa: E402
+
+
+def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each region: its name over two columns, then key and name of its nations."""
+    import pandas as pd
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n_nationkey")
+        rows = [[pdf["r_name"].iloc[0], None], *[[int(k), n] for k, n in zip(pdf["n_nationkey"], pdf["n_name"], strict=True)]]
+        return pd.DataFrame({"doc_id": [int(pdf["n_regionkey"].iloc[0])], "content": [samples.xlsx("nations", rows, ("A1:B1",))]})
+
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_regionkey").applyInPandas(write, "doc_id long, content binary")
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = convert.sheet_cells(decode.decode(scan.detect(_workbooks(spark, sf_dir)))).where("r > 0")
+    pick = lambda c: F.max(F.when(F.col("c") == c, F.col("text")))
+    return cells.groupBy("doc_id", "r").agg(pick(0).alias("n_nationkey"), pick(1).alias("n_name")).drop("r")
+
+
+@query("""WITH x AS (SELECT r_regionkey::BIGINT AS doc_id, r_name, n_nationkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey)
+SELECT doc_id, true AS success, 'xlsx' AS file_type, 1 AS page_count, '## nations' || chr(10) || chr(10) || '<table>' || chr(10) || '<tr><th colspan="2">' || any_value(r_name) || '</th></tr>' || chr(10)
+  || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', chr(10) ORDER BY n_nationkey) || chr(10) || '</table>' AS markdown FROM x GROUP BY doc_id""")
+def xlsx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.parse(_workbooks(spark, sf_dir)).select("doc_id", "success", "file_type", "page_count", "markdown")
+
+
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ord FROM documents),
+x AS (SELECT doc_id, ord, regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM l)
+"""
+
+
+def _texts(spark: SparkSession, sf_dir: str, write) -> DataFrame:
+    """Each document of ``documents`` as a file, its first line as heading."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                content = [write((x.as_py() or "").split("\n"), frozenset([0])) for x in piece["text"]]
+                yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "content": pa.array(content, pa.binary())})
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, content binary")
+
+
+def _read_back(spark: SparkSession, sf_dir: str, write) -> DataFrame:
+    found, _ = convert.blocks(decode.decode(scan.detect(_texts(spark, sf_dir, write))))
+    text = T.strip(F.regexp_replace("text", r"(?U)\s+", " "))
+    return found.select("doc_id", "ord", (F.col("type") == "heading").alias("heading"), F.md5(text).alias("digest"))
+
+
+@query(_LINES + "SELECT doc_id, ord, ord = 0 AS heading, md5(t) AS digest FROM x WHERE t <> ''")
+def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, samples.docx)
+
+
+@query(_LINES + "SELECT doc_id, ord, ord = 0 AS heading, md5(t) AS digest FROM x WHERE t <> ''")
+def hwpml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, samples.hwpml)
+
+
+@query(_LINES + ", m AS (SELECT doc_id, count(*) AS n FROM x WHERE t <> '' GROUP BY doc_id) SELECT doc_id, ord, ord = 0 AND n > 2 AND length(t) <= 200 AND NOT regexp_matches(t, '^[0-9]+$') AS heading, md5(t) AS digest FROM x JOIN m USING (doc_id) WHERE t <> ''")
+def hwpx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, samples.hwpx)
+
+
+_KINDS = [(1, "xlsx"), (2, "docx"), (3, "hwpml"), (4, "hwpx"), (5, "pdf"), (6, "hwp3"), (7, "unknown"), (8, "unknown"), (9, "hwp")]
+
+
+@query(f"SELECT id::BIGINT AS doc_id, kind AS file_type FROM {values_sql(_KINDS, 'id, kind')}")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = [samples.xlsx("s", [["a"]]), samples.docx(["a"]), samples.hwpml(["a"]), samples.hwpx(["a"]), b"%PDF-1.7", b"HWP Document File V3.00 \x1a", b"ab", b"plain text", b"\xd0\xcf\x11\xe0" + bytes(600)]
+    docs = values(spark, [(i + 1, bytearray(b)) for i, b in enumerate(blobs)], "doc_id long, content binary")
+    return scan.detect(docs).select("doc_id", "file_type")
+
+
+@query("""SELECT doc_id::BIGINT AS doc_id, code FROM (VALUES (1, 'EMPTY_INPUT'), (2, 'UNSUPPORTED_FORMAT'), (3, 'UNSUPPORTED_FORMAT'), (4, 'PARSE_ERROR'), (5, NULL)) AS v(doc_id, code)""")
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = [b"", b"abc", b"%PDF-1.4", b"PK\x03\x04" + bytes(range(200)), samples.docx(["ok"])]
+    docs = values(spark, [(i + 1, bytearray(b)) for i, b in enumerate(blobs)], "doc_id long, content binary")
+    return convert.parse(docs).select("doc_id", "code")
+
+
+@query("""SELECT n_nationkey::BIGINT AS doc_id, '{"file_type":"docx","markdown":"# ' || n_name || '","page_count":null}' AS json FROM nation""")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("text"))
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "content": pa.array([samples.docx([t], frozenset([0])) for t in batch["text"].to_pylist()], pa.binary())})
+
+    return convert.to_json(convert.parse(n.mapInArrow(run, "doc_id long, content binary")))
