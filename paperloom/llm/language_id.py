@@ -98,13 +98,19 @@ class _Automaton:
         return len(self.next) - 1
 
     def table(self, k: int) -> np.ndarray:
-        """k entries a state: k times the next state, or its complement where a new phrase begins."""
-        out = np.full((len(self.next), k), -1, dtype=np.int32)
+        """k entries a state: k times the next state, or its complement where a new phrase begins.
+
+        A last state stands for a phrase of one letter that the training text lacks.
+        """
+        alone = len(self.next)
+        out = np.full((alone + 1, k), -1, dtype=np.int32)
         for s, edges in enumerate(self.next):
             if edges:
                 out[s, list(edges)] = list(edges.values())
-        root = np.maximum(out[0], 0)
-        return np.where(out >= 0, out * k, ~(root * k)[None, :]).astype(np.int32).ravel()
+        fresh = np.where(out[0] >= 0, out[0], alone)
+        full = np.where(out >= 0, out * k, ~(fresh * k)[None, :])
+        full[0] = fresh * k
+        return full.astype(np.int32).ravel()
 
 
 class Model:
