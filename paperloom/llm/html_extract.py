@@ -242,7 +242,12 @@ _learned: dict[str, Costs] = {}
 def labelled_pages(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> list[str]:
     """A bounded sample of pages that mark their content, those with the smallest hashes."""
     marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]") & (F.length(html_col) <= SAMPLE_BYTES))
-    return [r[0] for r in marked.select(html_col, F.xxhash64(html_col).alias("h")).orderBy("h", html_col).limit(sample_pages).collect()]
+    # the hashes first: a limit sends its rows from every partition to the driver
+    hashes = [r.h for r in marked.select(F.xxhash64(html_col).alias("h")).orderBy("h").limit(sample_pages).collect()]
+    if not hashes:
+        return []
+    chosen = marked.where(F.xxhash64(html_col).isin(hashes)).select(html_col).distinct()
+    return sorted(r[0] for r in chosen.collect())
 
 
 def extract_text(pages: DataFrame, sample: list[str], html_col: str = "html") -> DataFrame:
