@@ -43,7 +43,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     spread = materialize(spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low))
     near = spread.where(F.col("sites") <= high).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("exact"))
+    # pairs first, so that a line which a third of all rows show is a row for each site
+    exact = lines.select("h", "site").distinct().join(near, "h", "left_semi").groupBy("h").agg(F.count("site").alias("exact"))
     known = spread.join(materialize(exact), "h", "left")
     return materialize(known.where(F.coalesce("exact", "sites") >= min_sites).select("h", "first"))
 
