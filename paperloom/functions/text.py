@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,12 +27,21 @@ def strip(c: Column) -> Column:
 def sanitize_text(c: Column) -> Column:
     """Without private-use characters and shape texts, single spaces, evenly spaced Hangul joined."""
     x = F.regexp_replace(c, r"[\x{F0000}-\x{FFFFD}]", "")
-    x = F.regexp_replace(x, SHAPE_TEXT, "")
+    # few texts have the ending that every shape text has, and the names take long to look for
+    x = _once(x, lambda v: F.when(F.contains(v, F.lit("입니다")), F.regexp_replace(v, SHAPE_TEXT, "")).otherwise(v))
     x = strip(F.regexp_replace(x, "  +", " "))
-    parts = F.split(x, " ")
-    single = F.size(F.filter(parts, lambda t: t.rlike("^[가-힯ㄱ-ㆎ]$")))
-    spread = (F.length(x) <= MAX_SPREAD) & (F.size(parts) >= 3) & (single >= F.lit(0.7) * F.size(parts))
-    return F.when(spread, F.array_join(parts, "")).otherwise(x)
+
+    def joined(v: Column) -> Column:
+        parts = F.split(v, " ")
+        single = F.size(F.filter(parts, lambda t: t.rlike("^[가-힯ㄱ-ㆎ]$")))
+        return F.when((F.size(parts) >= 3) & (single >= F.lit(0.7) * F.size(parts)), F.array_join(parts, "")).otherwise(v)
+
+    return _once(x, lambda v: F.when(F.length(v) <= MAX_SPREAD, joined(v)).otherwise(v))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def escape_tilde(c: Column) -> Column:

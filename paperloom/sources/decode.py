@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from paperloom.sources.scan import MAX_ENTRIES, MAX_UNZIPPED, zip_directory
@@ -307,5 +308,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode(detected: DataFrame) -> DataFrame:
-    """The tagged rows of documents (doc_id, file_type, content)."""
-    return detected.select("doc_id", "file_type", "content").mapInArrow(_decode, ROWS)
+    """The tagged rows of documents (doc_id, file_type, content).
+
+    Many branches of a plan read them, so they are kept while it runs; what a lost executor held is decoded again.
+    """
+    return detected.select("doc_id", "file_type", "content").mapInArrow(_decode, ROWS).persist(StorageLevel.MEMORY_AND_DISK)
