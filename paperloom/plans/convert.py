@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one page number of a sheet or section, so a block's place is (section, ord)
     sheets = _blocks(rows.where("kind = 'sheet' AND text <> ''"), type=F.lit("heading"), level=F.lit(2), page_number=F.col("section") + 1)
     cells = rows.where("kind IN ('cell', 'merge', 'string', 'sheet')").join(files.where("file_type = 'xlsx'").select("doc_id"), "doc_id", "left_semi")
-    grids = sheet_grids(cells).unionByName(document_grids(rows, files))
+    # read once for the table blocks and once for each form of rendering
+    grids = sheet_grids(cells).unionByName(document_grids(rows, files)).persist(StorageLevel.MEMORY_AND_DISK)
     tables = _blocks(grids.select(*TABLE).distinct().withColumn("text", F.lit(None).cast("string")), type=F.lit("table"), page_number=F.col("section") + 1)
     texts = text_blocks(rows, files)
     sized = classify.detect_headings(texts.join(files.where("file_type = 'hwpx'").select("doc_id"), "doc_id", "left_semi"), "doc_id").select(*BLOCK)
