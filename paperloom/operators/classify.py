@@ -32,6 +32,28 @@ def detect_headings(blocks: DataFrame, key: str) -> DataFrame:
     return x.withColumn("level", F.coalesce(level, F.col("level"))).withColumn("type", F.when(level.isNotNull(), "heading").otherwise(F.col("type"))).drop("_base")
 
 
+def styled_level(text: Column, size: Column, base: Column) -> Column:
+    """1 to 3 by size, else 2 for a chapter's and 3 for an article's title; null for no heading and without a base."""
+    t = strip(text)
+    level = None
+    for n, least in RATIOS:
+        level = F.when(size / base >= least, n) if level is None else level.when(size / base >= least, n)
+    chapter = t.rlike(r"(?U)^제\d+[장절편]\s") & (F.length(t) <= 50)
+    article = t.rlike(r"(?U)^제\d+(?:조의?\d*)\s*[（(]") & (F.length(t) <= 80)
+    level = F.coalesce(level, F.when(chapter, 2).when(article, 3))
+    return F.when((base > 0) & (t != "") & (F.length(t) <= 200) & ~t.rlike(r"(?U)^\d+$"), level)
+
+
+def detect_styled_headings(blocks: DataFrame, bases: DataFrame, key: str) -> DataFrame:
+    """The same with the base size from ``bases`` (key, base), or the most common one of all sized blocks where it has none."""
+    place = F.col("section").cast("long") * (1 << 40) + F.col("ord")
+    common = modal_value(blocks.where("font_size > 0").withColumn("_at", place), [key], "font_size", "_at").withColumnRenamed("font_size", "_common")
+    x = blocks.join(bases, key, "left").join(common, key, "left")
+    found = styled_level(F.coalesce("text", F.lit("")), F.col("font_size"), F.coalesce("base", "_common"))
+    level = F.when(F.col("type") == "paragraph", found)
+    return x.withColumn("level", F.coalesce(level, F.col("level"))).withColumn("type", F.when(level.isNotNull(), "heading").otherwise(F.col("type"))).drop("base", "_common")
+
+
 def outline(blocks: DataFrame) -> DataFrame:
     return blocks.where("type = 'heading'")
 

@@ -6,11 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import clean_numeric, error_code, strip
+from paperloom.functions.text import clean_numeric, error_code, page_set, strip
 from paperloom.operators import classify, grid, render
 from paperloom.sources import decode, scan
 
 TABLE = ["doc_id", "section", "ord"]
+SHEETS = ("xlsx", "xls")
 BLOCK = ["doc_id", "section", "ord", "type", "text", "level", "page_number", "list_type", "href", "footnote_text", "font_size"]
 
 
@@ -51,13 +52,15 @@ def sheet_grids(rows: DataFrame) -> DataFrame:
 
 def document_grids(rows: DataFrame, files: DataFrame) -> DataFrame:
     """The same of the tables in text documents."""
-    cells = rows.where("kind = 'cell'").join(files.where("file_type <> 'xlsx'"), "doc_id").withColumn("col_span", F.coalesce(_attr("span").cast("int"), F.lit(1)))
+    cells = rows.where("kind = 'cell'").join(files.where(~F.col("file_type").isin(*SHEETS)), "doc_id").withColumn("col_span", F.coalesce(_attr("span").cast("int"), F.lit(1)))
     out = [*TABLE, "r", "c", "text", "col_span", "row_span"]
-    placed = cells.where(_attr("placed").isNotNull()).withColumn("row_span", F.coalesce(_attr("rows").cast("int"), F.lit(1))).select(*out)
+    placed = cells.where(_attr("placed").isNotNull()).withColumn("row_span", F.coalesce(_attr("rows").cast("int"), F.lit(1)))
+    # a table that gives all its cells' places keeps its blank columns
+    whole, placed = placed.where(_attr("whole").isNotNull()).select(*out), placed.where(_attr("whole").isNull()).select(*out)
     raw = cells.where(_attr("placed").isNull()).withColumnRenamed("r", "row_ord").withColumnRenamed("c", "cell_ord")
     merged = grid.vertical_runs(raw, TABLE, (_attr("merge").isNotNull()) & (_attr("merge") != "restart"))
     flowed = grid.place_cells(merged.select(*TABLE, "row_ord", "cell_ord", "text", "col_span", "row_span"), TABLE).select(*out)
-    return grid.trim_columns(placed.unionByName(flowed), TABLE)
+    return grid.trim_columns(placed.unionByName(flowed), TABLE).unionByName(whole)
 
 
 def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -67,11 +70,15 @@ def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
     x = x.join(of("style", "id", "outline").dropDuplicates(["doc_id", "style_id"]).withColumnRenamed("style_id", "style"), ["doc_id", "style"], "left")
     x = x.join(of("rel", "id").withColumnRenamed("rel_id", "link"), ["doc_id", "link"], "left")
     x = x.join(of("note", "id").withColumnRenamed("note_id", "note"), ["doc_id", "note"], "left")
+    # a paragraph has one character shape, or the most frequent one of its runs
+    runs = grid.dominant_value(rows.where("kind = 'shape'").select(*TABLE, "r", F.col("text").alias("_run")), TABLE, "_run", "r")
+    x = x.join(runs, TABLE, "left").withColumn("char", F.coalesce("char", "_run"))
     x = x.join(of("char", "id", "size").drop("char_text").withColumnRenamed("char_id", "char"), ["doc_id", "char"], "left")
     x = x.join(of("numbering", "num", "ilvl", "fmt").drop("numbering_text").withColumnRenamed("numbering_num", "num").withColumnRenamed("numbering_ilvl", "ilvl"), ["doc_id", "num", "ilvl"], "left")
     level = F.coalesce(F.col("outline"), F.col("style_outline")).cast("int")
     docx = F.when(level.between(0, 5), level + 1)
-    level = F.when(F.col("file_type") == "docx", docx).when(F.col("file_type") == "hwpml", F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(0)) + 1, F.lit(6))))
+    hwpml = F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(0)) + 1, F.lit(6)))
+    level = F.when(F.col("file_type") == "docx", docx).when(F.col("file_type") == "hwpml", hwpml).when(F.col("file_type") == "hwp", level)
     listed = F.col("num").isNotNull() & (F.col("num") != "0")
     kind = F.when(level.isNotNull(), "heading").when(listed, "list").otherwise("paragraph")
     list_type = F.when(listed, F.when(F.col("numbering_fmt") == "bullet", "unordered").otherwise("ordered"))
@@ -85,14 +92,85 @@ def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = rows.where("kind = 'document'").select("doc_id", F.col("text").alias("file_type"))
     # one page number of a sheet or section, so a block's place is (section, ord)
     sheets = _blocks(rows.where("kind = 'sheet' AND text <> ''"), type=F.lit("heading"), level=F.lit(2), page_number=F.col("section") + 1)
-    cells = rows.where("kind IN ('cell', 'merge', 'string', 'sheet')").join(files.where("file_type = 'xlsx'").select("doc_id"), "doc_id", "left_semi")
+    cells = rows.where("kind IN ('cell', 'merge', 'string', 'sheet')").join(files.where(F.col("file_type").isin(*SHEETS)).select("doc_id"), "doc_id", "left_semi")
+    inner = document_grids(rows, files)
+    old = files.where("file_type = 'hwp'").select("doc_id")
+    layout, inner = flatten_layout(inner, old)
     # read once for the table blocks and once for each form of rendering
-    grids = sheet_grids(cells).unionByName(document_grids(rows, files)).persist(StorageLevel.MEMORY_AND_DISK)
+    grids = sheet_grids(cells).unionByName(inner).persist(StorageLevel.MEMORY_AND_DISK)
     tables = _blocks(grids.select(*TABLE).distinct().withColumn("text", F.lit(None).cast("string")), type=F.lit("table"), page_number=F.col("section") + 1)
-    texts = text_blocks(rows, files)
-    sized = classify.detect_headings(texts.join(files.where("file_type = 'hwpx'").select("doc_id"), "doc_id", "left_semi"), "doc_id").select(*BLOCK)
-    plain = texts.join(files.where("file_type = 'hwpx'").select("doc_id"), "doc_id", "left_anti")
-    return sheets.unionByName(tables).unionByName(sized).unionByName(plain), grids
+    texts = text_blocks(rows, files).unionByName(layout)
+    by_ratio = classify.detect_headings(texts.join(files.where("file_type = 'hwpx'").select("doc_id"), "doc_id", "left_semi"), "doc_id").select(*BLOCK)
+    by_style = classify.detect_styled_headings(texts.join(old, "doc_id", "left_semi"), body_sizes(rows), "doc_id").select(*BLOCK)
+    plain = texts.join(files.where("file_type IN ('hwpx', 'hwp')").select("doc_id"), "doc_id", "left_anti")
+    return sheets.unionByName(tables).unionByName(by_ratio).unionByName(by_style).unionByName(plain).unionByName(image_blocks(rows)), grids
+
+
+def flatten_layout(grids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paragraph blocks, other grids): layout tables of ``docs`` become paragraphs behind their place."""
+    lines, kept = render.flatten_layout_tables(grids.join(docs, "doc_id", "left_semi"), TABLE)
+    nth = F.row_number().over(Window.partitionBy(*TABLE).orderBy("r", "c", "i"))
+    lines = lines.select("doc_id", "section", (F.col("ord") + nth).alias("ord"), "text")
+    return _blocks(lines, type=F.lit("paragraph"), page_number=F.col("section") + 1), kept.unionByName(grids.join(docs, "doc_id", "left_anti"))
+
+
+#: Parts of the names that a body text's style has.
+BODY_STYLES = ("바탕", "본문", "normal", "body")
+
+
+def body_sizes(rows: DataFrame) -> DataFrame:
+    """doc_id, base: the font size of the first style named for body text."""
+    named = rows.where("kind = 'named_style'").where(F.col("text").rlike("|".join(BODY_STYLES))).select("doc_id", "ord", _attr("char").alias("char"))
+    sizes = rows.where("kind = 'char'").select("doc_id", _attr("id").alias("char"), _attr("size").cast("double").alias("size")).where("size > 0")
+    return named.join(sizes, ["doc_id", "char"]).groupBy("doc_id").agg(F.min_by("size", "ord").alias("base"))
+
+
+#: The first bytes of each image type.
+MAGIC = {"image/png": "89504E47", "image/jpeg": "FFD8FF", "image/gif": "474946", "image/bmp": "424D", "image/wmf": "D7CDC69A", "image/emf": "01000000"}
+
+
+def images(rows: DataFrame) -> DataFrame:
+    """doc_id, section, ord, name, mime_type, filename, apart, data of the images; those of no known type have no mime_type."""
+    head, mime = F.hex(F.substring("data", 1, 4)), _attr("mime")
+    for kind, magic in MAGIC.items():
+        mime = F.coalesce(mime, F.when(head.startswith(magic), kind))
+    x = rows.where("kind = 'image'").select("doc_id", "section", "ord", F.col("text").alias("name"), F.when(F.length("data") > 0, mime).alias("mime_type"), _attr("ext").alias("ext"), _attr("apart").isNotNull().alias("apart"), "data")
+    known = F.col("mime_type").isNotNull()
+    nth = F.sum(known.cast("int")).over(Window.partitionBy("doc_id").orderBy("section", "ord"))
+    ext = F.coalesce("ext", F.when(F.col("mime_type") == "image/jpeg", "jpg").otherwise(F.element_at(F.split("mime_type", "/"), -1)))
+    number = F.when(nth < 1000, F.lpad(nth.cast("string"), 3, "0")).otherwise(nth.cast("string"))
+    return x.withColumn("filename", F.when(known, F.concat(F.lit("image_"), number, F.lit("."), ext))).drop("ext")
+
+
+def image_blocks(rows: DataFrame) -> DataFrame:
+    """An image block for each image, and a paragraph for each that can't be shown."""
+    x = images(rows).drop("data").where("NOT apart")
+    text = F.coalesce("filename", F.concat(F.lit("[이미지: "), F.col("name"), F.lit("]")))
+    return _blocks(x.withColumn("text", text), type=F.when(F.col("filename").isNotNull(), "image").otherwise("paragraph"), page_number=F.col("section") + 1)
+
+
+def warnings(rows: DataFrame) -> DataFrame:
+    """doc_id, page, code, message."""
+    said = rows.where("kind = 'warning'").select("doc_id", (F.col("section") + 1).alias("page"), _attr("code").alias("code"), F.col("text").alias("message"))
+    lost = images(rows).where("filename IS NULL").select("doc_id", (F.col("section") + 1).alias("page"), F.lit("SKIPPED_IMAGE").alias("code"), F.concat(F.lit("이미지를 읽을 수 없음: "), F.col("name")).alias("message"))
+    return said.unionByName(lost)
+
+
+#: Row kinds that belong to one section, and the formats that have any.
+_IN_SECTION = ("paragraph", "cell", "merge", "sheet", "shape", "image", "warning")
+_SECTIONED = ("xlsx", "xls", "hwp", "hwpx", "hwpml")
+
+
+def select_pages(rows: DataFrame, pages: str | None) -> DataFrame:
+    """The rows of the sheets or sections that ``pages`` names (such as 1,3,5-7); a range that selects none selects all."""
+    if not pages:
+        return rows
+    count = F.coalesce(F.max(F.when((F.col("kind") == "meta") & (_attr("name") == "page_count"), F.col("text").cast("int"))), F.max("section") + 1)
+    kind = F.max(F.when(F.col("kind") == "document", F.col("text")))
+    wanted = rows.groupBy("doc_id").agg(count.alias("_n"), kind.alias("_kind")).where(F.col("_kind").isin(*_SECTIONED))
+    wanted = wanted.select("doc_id", page_set(F.lit(pages), F.col("_n")).alias("_pages")).where(F.size("_pages") > 0)
+    keep = F.col("_pages").isNull() | ~F.col("kind").isin(*_IN_SECTION) | F.array_contains("_pages", F.col("section") + 1)
+    return rows.join(wanted, "doc_id", "left").where(keep).drop("_pages")
 
 
 def results(rows: DataFrame) -> DataFrame:
@@ -117,9 +195,9 @@ def results(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse(docs: DataFrame) -> DataFrame:
-    """The results of documents (doc_id, content)."""
-    return results(decode.decode(scan.detect(docs)))
+def parse(docs: DataFrame, pages: str | None = None) -> DataFrame:
+    """The results of documents (doc_id, content), of all or of the chosen sheets or sections."""
+    return results(select_pages(decode.decode(scan.detect(docs)), pages))
 
 
 def to_json(found: DataFrame) -> DataFrame:

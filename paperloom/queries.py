@@ -352,6 +352,24 @@ def xlsx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.parse(_workbooks(spark, sf_dir)).select("doc_id", "success", "file_type", "page_count", "markdown")
 
 
+def _old_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as BIFF8, with shared strings that are often split."""
+    import pandas as pd
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n_nationkey")
+        rows = [[pdf["r_name"].iloc[0], None], *[[int(k), n] for k, n in zip(pdf["n_nationkey"], pdf["n_name"], strict=True)]]
+        return pd.DataFrame({"doc_id": [int(pdf["n_regionkey"].iloc[0])], "content": [samples.xls("nations", rows, ((0, 0, 0, 1),), 40)]})
+
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_regionkey").applyInPandas(write, "doc_id long, content binary")
+
+
+@query(ORACLE_SQL["xlsx_markdown"].replace("'xlsx'", "'xls'"))
+def xls_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.parse(_old_workbooks(spark, sf_dir)).select("doc_id", "success", "file_type", "page_count", "markdown")
+
+
 _LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ord FROM documents),
 x AS (SELECT doc_id, ord, regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM l)
 """
@@ -392,6 +410,11 @@ def hwpx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, sf_dir, samples.hwpx)
 
 
+@query(_LINES + ", m AS (SELECT doc_id, count(*) AS n FROM x WHERE t <> '' GROUP BY doc_id) SELECT doc_id, ord * 1048576 AS ord, line = 0 AND n > 2 AND length(t) <= 200 AND NOT regexp_matches(t, '^[0-9]+$') AS heading, md5(t) AS digest FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, t, ord AS line FROM x WHERE t <> '') JOIN m USING (doc_id)")
+def hwp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, samples.hwp)
+
+
 _KINDS = [(1, "xlsx"), (2, "docx"), (3, "hwpml"), (4, "hwpx"), (5, "pdf"), (6, "hwp3"), (7, "unknown"), (8, "unknown"), (9, "hwp")]
 
 

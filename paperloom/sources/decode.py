@@ -16,20 +16,13 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from paperloom.sources import biff, hwp5
+from paperloom.sources.rows import Row, Unreadable, row
 from paperloom.sources.scan import MAX_ENTRIES, MAX_UNZIPPED, zip_directory
 from paperloom.sources.xmltree import Node, parse
 
 ROWS = "doc_id long, kind string, section int, ord long, r int, c int, text string, attrs map<string,string>, data binary"
 MAX_SHEETS, MAX_ROWS, MAX_COLS = 100, 10_000, 200
-Row = dict
-
-
-class Unreadable(ValueError):
-    pass
-
-
-def row(kind: str, section: int = 0, ord: int = 0, r: int | None = None, c: int | None = None, text: str | None = None, data: bytes | None = None, **attrs: object) -> Row:
-    return {"kind": kind, "section": section, "ord": ord, "r": r, "c": c, "text": text, "attrs": {k: str(v) for k, v in attrs.items() if v is not None}, "data": data}
 
 
 def _open_zip(content: bytes) -> zipfile.ZipFile:
@@ -285,7 +278,7 @@ def _hwpx_table(t: Node, section: int, at: int) -> Iterator[Row]:
             yield row("cell", section, at, number(addr, "rowAddr", r), number(addr, "colAddr", c), text, span=min(200, max(1, number(span, "colSpan", 1))), rows=min(10_000, max(1, number(span, "rowSpan", 1))), placed=1 if addr else None)
 
 
-DECODERS = {"xlsx": xlsx, "docx": docx, "hwpml": hwpml, "hwpx": hwpx}
+DECODERS = {"xlsx": xlsx, "docx": docx, "hwpml": hwpml, "hwpx": hwpx, "xls": biff.xls, "hwp": hwp5.hwp}
 _FIELDS = ("kind", "section", "ord", "r", "c", "text", "attrs", "data")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("section", pa.int32()), ("ord", pa.int64()), ("r", pa.int32()), ("c", pa.int32()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("data", pa.binary())])
 
