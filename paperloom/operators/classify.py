@@ -44,14 +44,24 @@ def styled_level(text: Column, size: Column, base: Column) -> Column:
     return F.when((base > 0) & (t != "") & (F.length(t) <= 200) & ~t.rlike(r"(?U)^\d+$"), level)
 
 
-def detect_styled_headings(blocks: DataFrame, bases: DataFrame, key: str) -> DataFrame:
-    """The same with the base size from ``bases`` (key, base), or the most common one of all sized blocks where it has none."""
+def with_headings(blocks: DataFrame, bases: DataFrame, key: str) -> DataFrame:
+    """Blocks of all formats (with file_type, section) after their format's rule; ``bases`` (key, base) are sizes of named styles.
+
+    The most common size of a document comes from windows, so the blocks are read once.
+    """
     place = F.col("section").cast("long") * (1 << 40) + F.col("ord")
-    common = modal_value(blocks.where("font_size > 0").withColumn("_at", place), [key], "font_size", "_at").withColumnRenamed("font_size", "_common")
-    x = blocks.join(bases, key, "left").join(common, key, "left")
-    found = styled_level(F.coalesce("text", F.lit("")), F.col("font_size"), F.coalesce("base", "_common"))
-    level = F.when(F.col("type") == "paragraph", found)
-    return x.withColumn("level", F.coalesce(level, F.col("level"))).withColumn("type", F.when(level.isNotNull(), "heading").otherwise(F.col("type"))).drop("base", "_common")
+    size = F.when(F.col("font_size") > 0, F.col("font_size"))
+    alike, whole = Window.partitionBy(key, "_size"), Window.partitionBy(key)
+    x = blocks.withColumn("_size", size).withColumn("_at", place)
+    x = x.withColumn("_n", F.count("*").over(alike)).withColumn("_first", F.min("_at").over(alike))
+    common = F.max(F.when(F.col("_size").isNotNull(), F.struct("_n", (-F.col("_first")).alias("_first"), "_size"))).over(whole)
+    x = x.withColumn("_common", common["_size"]).join(bases, key, "left")
+    text = F.coalesce("text", F.lit(""))
+    ratio = heading_level(text, F.col("font_size"), F.coalesce("_common", F.lit(0.0)))
+    styled = styled_level(text, F.col("font_size"), F.coalesce("base", "_common"))
+    level = F.when(F.col("type") == "paragraph", F.when(F.col("file_type") == "hwpx", ratio).when(F.col("file_type") == "hwp", styled))
+    x = x.withColumn("_level", level).withColumn("level", F.coalesce("_level", "level"))
+    return x.withColumn("type", F.when(F.col("_level").isNotNull(), "heading").otherwise(F.col("type"))).select(*blocks.columns)
 
 
 def outline(blocks: DataFrame) -> DataFrame:

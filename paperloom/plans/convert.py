@@ -11,7 +11,6 @@ from paperloom.operators import classify, grid, render
 from paperloom.sources import decode, scan
 
 TABLE = ["doc_id", "section", "ord"]
-SHEETS = ("xlsx", "xls")
 BLOCK = ["doc_id", "section", "ord", "type", "text", "level", "page_number", "list_type", "href", "footnote_text", "font_size"]
 
 
@@ -19,16 +18,16 @@ def _attr(name: str) -> Column:
     return F.col("attrs")[name]
 
 
-def _blocks(df: DataFrame, **columns: Column) -> DataFrame:
+def _blocks(df: DataFrame, more: tuple[str, ...] = (), **columns: Column) -> DataFrame:
     null = F.lit(None)
     kinds = {"level": "int", "page_number": "int", "font_size": "double"}
-    return df.select(*[(columns.get(c, F.col(c) if c in ("doc_id", "section", "ord", "text") else null)).cast(kinds.get(c, "int" if c == "section" else "long" if c in ("doc_id", "ord") else "string")).alias(c) for c in BLOCK])
+    return df.select(*[(columns.get(c, F.col(c) if c in ("doc_id", "section", "ord", "text") else null)).cast(kinds.get(c, "int" if c == "section" else "long" if c in ("doc_id", "ord") else "string")).alias(c) for c in BLOCK], *more)
 
 
 def sheet_cells(rows: DataFrame) -> DataFrame:
     """doc_id, section, r, c, text of spreadsheet cells: shared strings looked up, booleans and numbers as text."""
     strings = rows.where("kind = 'string'").select("doc_id", F.col("ord").alias("idx"), F.col("text").alias("shared"))
-    cells = rows.where("kind = 'cell'").select("doc_id", "section", "r", "c", "text", _attr("type").alias("type"), _attr("formula").alias("formula"))
+    cells = rows.where((F.col("kind") == "cell") & _attr("type").isNotNull()).select("doc_id", "section", "r", "c", "text", _attr("type").alias("type"), _attr("formula").alias("formula"))
     index = F.when((F.col("type") == "s") & F.col("text").rlike(r"^\d+$"), F.col("text").cast("long"))
     x = cells.withColumn("idx", index).join(strings, ["doc_id", "idx"], "left")
     value = F.when(F.col("type") == "s", F.coalesce("shared", F.lit(""))).when(F.col("type") == "b", F.when(F.col("text") == "1", "TRUE").otherwise("FALSE"))
@@ -50,17 +49,32 @@ def sheet_grids(rows: DataFrame) -> DataFrame:
     return grid.trim_columns(done.withColumn("r", (F.col("r") - first).cast("int")), keys).withColumn("ord", F.lit(1).cast("long"))
 
 
-def document_grids(rows: DataFrame, files: DataFrame) -> DataFrame:
+def _spanned(rows: DataFrame, flow: bool) -> DataFrame:
+    cells = rows.where((F.col("kind") == "cell") & _attr("span").isNotNull() & (_attr("flow").isNotNull() if flow else _attr("flow").isNull()))
+    return cells.withColumn("col_span", F.coalesce(_attr("span").cast("int"), F.lit(1)))
+
+
+_GRID = [*TABLE, "r", "c", "text", "col_span", "row_span"]
+
+
+def document_grids(rows: DataFrame) -> DataFrame:
     """The same of the tables in text documents."""
-    cells = rows.where("kind = 'cell'").join(files.where(~F.col("file_type").isin(*SHEETS)), "doc_id").withColumn("col_span", F.coalesce(_attr("span").cast("int"), F.lit(1)))
-    out = [*TABLE, "r", "c", "text", "col_span", "row_span"]
-    placed = cells.where(_attr("placed").isNotNull()).withColumn("row_span", F.coalesce(_attr("rows").cast("int"), F.lit(1)))
-    # a table that gives all its cells' places keeps its blank columns
-    whole, placed = placed.where(_attr("whole").isNotNull()).select(*out), placed.where(_attr("whole").isNull()).select(*out)
+    cells = _spanned(rows, flow=False)
+    placed = cells.where(_attr("placed").isNotNull()).withColumn("row_span", F.coalesce(_attr("rows").cast("int"), F.lit(1))).select(*_GRID)
     raw = cells.where(_attr("placed").isNull()).withColumnRenamed("r", "row_ord").withColumnRenamed("c", "cell_ord")
     merged = grid.vertical_runs(raw, TABLE, (_attr("merge").isNotNull()) & (_attr("merge") != "restart"))
-    flowed = grid.place_cells(merged.select(*TABLE, "row_ord", "cell_ord", "text", "col_span", "row_span"), TABLE).select(*out)
-    return grid.trim_columns(placed.unionByName(flowed), TABLE).unionByName(whole)
+    flowed = grid.place_cells(merged.select(*TABLE, "row_ord", "cell_ord", "text", "col_span", "row_span"), TABLE).select(*_GRID)
+    return grid.trim_columns(placed.unionByName(flowed), TABLE)
+
+
+def flowing_grids(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of text, grids) of the tables that may be layout; one whose cells give their places keeps its blank columns."""
+    cells = _spanned(rows, flow=True).withColumn("row_span", F.coalesce(_attr("rows").cast("int"), F.lit(1))).withColumn("_whole", _attr("whole").isNotNull())
+    last = F.max(F.when((strip(F.col("text")) != "") | F.col("_whole"), F.col("c"))).over(Window.partitionBy(*TABLE))
+    cells = cells.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("c") <= F.col("_last"))).select(*_GRID)
+    lines, kept = render.flatten_layout_tables(cells, TABLE)
+    nth = F.row_number().over(Window.partitionBy(*TABLE).orderBy("r", "c", "i"))
+    return lines.select("doc_id", "section", (F.col("ord") + nth).alias("ord"), "text"), kept
 
 
 def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -84,7 +98,7 @@ def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
     list_type = F.when(listed, F.when(F.col("numbering_fmt") == "bullet", "unordered").otherwise("ordered"))
     page = F.when(F.col("file_type") != "docx", F.col("section") + 1)
     x = x.where(strip(F.coalesce("text", F.lit(""))) != "")
-    return _blocks(x, type=kind, level=level, page_number=page, list_type=list_type, href=F.col("rel_text"), footnote_text=F.col("note_text"), font_size=F.col("char_size"))
+    return _blocks(x, ("file_type",), type=kind, level=level, page_number=page, list_type=list_type, href=F.col("rel_text"), footnote_text=F.col("note_text"), font_size=F.col("char_size"))
 
 
 def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,26 +106,14 @@ def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = rows.where("kind = 'document'").select("doc_id", F.col("text").alias("file_type"))
     # one page number of a sheet or section, so a block's place is (section, ord)
     sheets = _blocks(rows.where("kind = 'sheet' AND text <> ''"), type=F.lit("heading"), level=F.lit(2), page_number=F.col("section") + 1)
-    cells = rows.where("kind IN ('cell', 'merge', 'string', 'sheet')").join(files.where(F.col("file_type").isin(*SHEETS)).select("doc_id"), "doc_id", "left_semi")
-    inner = document_grids(rows, files)
-    old = files.where("file_type = 'hwp'").select("doc_id")
-    layout, inner = flatten_layout(inner, old)
+    lines, flowing = flowing_grids(rows)
     # read once for the table blocks and once for each form of rendering
-    grids = sheet_grids(cells).unionByName(inner).persist(StorageLevel.MEMORY_AND_DISK)
+    grids = sheet_grids(rows).unionByName(document_grids(rows)).unionByName(flowing).persist(StorageLevel.MEMORY_AND_DISK)
     tables = _blocks(grids.select(*TABLE).distinct().withColumn("text", F.lit(None).cast("string")), type=F.lit("table"), page_number=F.col("section") + 1)
-    texts = text_blocks(rows, files).unionByName(layout)
-    by_ratio = classify.detect_headings(texts.join(files.where("file_type = 'hwpx'").select("doc_id"), "doc_id", "left_semi"), "doc_id").select(*BLOCK)
-    by_style = classify.detect_styled_headings(texts.join(old, "doc_id", "left_semi"), body_sizes(rows), "doc_id").select(*BLOCK)
-    plain = texts.join(files.where("file_type IN ('hwpx', 'hwp')").select("doc_id"), "doc_id", "left_anti")
-    return sheets.unionByName(tables).unionByName(by_ratio).unionByName(by_style).unionByName(plain).unionByName(image_blocks(rows)), grids
-
-
-def flatten_layout(grids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paragraph blocks, other grids): layout tables of ``docs`` become paragraphs behind their place."""
-    lines, kept = render.flatten_layout_tables(grids.join(docs, "doc_id", "left_semi"), TABLE)
-    nth = F.row_number().over(Window.partitionBy(*TABLE).orderBy("r", "c", "i"))
-    lines = lines.select("doc_id", "section", (F.col("ord") + nth).alias("ord"), "text")
-    return _blocks(lines, type=F.lit("paragraph"), page_number=F.col("section") + 1), kept.unionByName(grids.join(docs, "doc_id", "left_anti"))
+    # a layout table's lines are paragraphs behind its place
+    laid = _blocks(lines, type=F.lit("paragraph"), page_number=F.col("section") + 1).withColumn("file_type", F.lit("hwp"))
+    texts = classify.with_headings(text_blocks(rows, files).unionByName(laid), body_sizes(rows), "doc_id").select(*BLOCK)
+    return sheets.unionByName(tables).unionByName(texts).unionByName(image_blocks(rows)), grids
 
 
 #: Parts of the names that a body text's style has.

@@ -212,7 +212,7 @@ class _Section:
             for c in range(cols):
                 if (r, c) not in covered:
                     text, wide, high = put.get((r, c), ("", 1, 1))
-                    yield row("cell", self.number, at, r, c, text, span=wide, rows=high, placed=1, whole=1 if addressed else None)
+                    yield row("cell", self.number, at, r, c, text, span=wide, rows=high, placed=1, flow=1, whole=1 if addressed else None)
 
     def cell(self, content: list[Record]) -> str:
         """The paragraphs of a cell by line; a table in it leaves a mark and its text."""
