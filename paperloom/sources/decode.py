@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from paperloom.functions.equation import office_math_latex, script_latex
 from paperloom.sources import biff, hwp5
 from paperloom.sources.rows import Row, Unreadable, row
 from paperloom.sources.scan import MAX_ENTRIES, MAX_UNZIPPED, zip_directory
@@ -136,17 +137,25 @@ def docx(content: bytes) -> Iterator[Row]:
                     for c, tc in enumerate(tr.all("tc")):
                         pr = tc.find("tcPr")
                         span, merge = (pr.find("gridSpan"), pr.find("vMerge")) if pr else (None, None)
-                        text = "\n".join("".join(t.full_text() for t in p.walk() if t.tag == "t") for p in tc.all("p"))
+                        text = "\n".join(map(_docx_text, tc.all("p")))
                         width = int(span.attrs.get("val", "1")) if span and span.attrs.get("val", "1").isdigit() else 1
                         yield row("cell", ord=i, r=r, c=c, text=text, span=max(1, width), merge=(merge.attrs.get("val") or "continue") if merge else None)
 
 
+def _docx_text(n: Node) -> str:
+    """The text of runs, with each formula where it stands."""
+    if n.tag in ("oMath", "oMathPara"):
+        latex, mark = office_math_latex(n), "$$" if n.tag == "oMathPara" else "$"
+        return f" {mark}{latex}{mark} " if latex else ""
+    return n.full_text() if n.tag == "t" else "".join(map(_docx_text, n.kids))
+
+
 def _docx_paragraph(p: Node, i: int) -> Row:
     pr = p.find("pPr")
     get = lambda *path: (n.attrs.get("val") if (n := pr.find(*path)) else None) if pr else None
     links = [n.attrs.get("id") for n in p.walk() if n.tag == "hyperlink"]
     notes = [n.attrs.get("id") for n in p.walk() if n.tag == "footnoteReference"]
-    text = "".join(t.full_text() for t in p.walk() if t.tag == "t")
+    text = re.sub(r"[ \t]{2,}", " ", _docx_text(p)).strip()
     return row("paragraph", ord=i, text=text, style=get("pStyle"), outline=get("outlineLvl"), num=get("numPr", "numId"), ilvl=get("numPr", "ilvl") or "0", link=links[-1] if links else None, note=notes[-1] if notes else None)
 
 
@@ -266,7 +275,15 @@ def _hwpx_content(node: Node, depth: int) -> Iterator[Node]:
 
 
 def _hwpx_text(node: Node) -> str:
-    return "".join(k.full_text() if k.tag == "t" else "" if k.tag in ("tbl", "pic", "ctrl") else _hwpx_text(k) for k in node.kids)
+    out = ""
+    for k in node.kids:
+        if k.tag == "equation":
+            script = k.find("script")
+            latex = script_latex(script.full_text()) if script else ""
+            out += f" ${latex}$ " if latex else ""
+        elif k.tag not in ("tbl", "pic", "ctrl"):
+            out += k.full_text() if k.tag == "t" else _hwpx_text(k)
+    return out
 
 
 def _hwpx_table(t: Node, section: int, at: int) -> Iterator[Row]:
