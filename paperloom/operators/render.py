@@ -109,8 +109,12 @@ def image_runs(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def blocks_to_markdown(blocks: DataFrame, key: str) -> DataFrame:
-    """key, markdown.  ``blocks``: key, ord, type, text, level, page_number, list_type, href, footnote_text, and markdown of tables."""
-    x = image_runs(fuse_attachments(blocks, key), key)
+    """key, markdown.  ``blocks``: key, ord, type, text, level, page_number, list_type, href, footnote_text, and markdown of tables.
+
+    A paragraph of list_type ``verbatim`` is shown as it is.
+    """
+    as_is = F.coalesce((F.col("type") == "paragraph") & (F.col("list_type") == "verbatim"), F.lit(False))
+    x = image_runs(fuse_attachments(blocks.withColumn("type", F.when(as_is, "verbatim").otherwise(F.col("type"))), key), key)
     t = sanitize_text(F.coalesce("text", F.lit("")))
     x = x.withColumn("t", F.when(F.col("type") == "image", F.coalesce("text", F.lit(""))).otherwise(t))
     full = F.col("t") != ""
@@ -131,6 +135,7 @@ def blocks_to_markdown(blocks: DataFrame, key: str) -> DataFrame:
         .when((kind == "paragraph") & F.col("t").rlike(r"^\[별표\s*\d+"), around(F.concat(F.lit("## "), F.col("t"))))
         .when((kind == "paragraph") & F.col("t").rlike(r"^\([^)]*조[^)]*관련\)$"), F.array(F.concat(F.lit("*"), F.col("t"), F.lit("*")), F.lit("")))
         .when((kind == "paragraph") & full, F.array(escape_tilde(noted), F.lit("")))
+        .when((kind == "verbatim") & (F.coalesce("text", F.lit("")) != ""), F.array(F.col("text"), F.lit("")))
         .when((kind == "table") & (F.coalesce("markdown", F.lit("")) != ""), F.array(F.col("markdown"), F.lit("")))
     )
     x = x.withColumn("lines", lines).where(F.col("lines").isNotNull())

@@ -80,7 +80,7 @@ def flowing_grids(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
     p = rows.where("kind = 'paragraph'").join(files, "doc_id")
     of = lambda kind, *names: rows.where(F.col("kind") == kind).select("doc_id", *[_attr(n).alias(f"{kind}_{n}") for n in names], F.col("text").alias(f"{kind}_text"))
-    x = p.select("doc_id", "section", "ord", "text", "file_type", *[_attr(n).alias(n) for n in ("style", "outline", "num", "ilvl", "link", "note", "char")])
+    x = p.select("doc_id", "section", "ord", "text", "file_type", *[_attr(n).alias(n) for n in ("style", "outline", "num", "ilvl", "link", "note", "char", "plain", "rule")])
     x = x.join(of("style", "id", "outline").dropDuplicates(["doc_id", "style_id"]).withColumnRenamed("style_id", "style"), ["doc_id", "style"], "left")
     x = x.join(of("rel", "id").withColumnRenamed("rel_id", "link"), ["doc_id", "link"], "left")
     x = x.join(of("note", "id").withColumnRenamed("note_id", "note"), ["doc_id", "note"], "left")
@@ -96,8 +96,9 @@ def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
     listed = F.col("num").isNotNull() & (F.col("num") != "0")
     kind = F.when(level.isNotNull(), "heading").when(listed, "list").otherwise("paragraph")
     list_type = F.when(listed, F.when(F.col("numbering_fmt") == "bullet", "unordered").otherwise("ordered"))
-    page = F.when(F.col("file_type") != "docx", F.col("section") + 1)
-    x = x.where(strip(F.coalesce("text", F.lit(""))) != "")
+    list_type = F.when(F.col("plain").isNotNull(), "verbatim").otherwise(list_type)
+    page = F.when(~F.col("file_type").isin("docx", "hwp3"), F.col("section") + 1)
+    x = x.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("file_type", F.coalesce("rule", "file_type"))
     return _blocks(x, ("file_type",), type=kind, level=level, page_number=page, list_type=list_type, href=F.col("rel_text"), footnote_text=F.col("note_text"), font_size=F.col("char_size"))
 
 
@@ -151,6 +152,20 @@ def image_blocks(rows: DataFrame) -> DataFrame:
     return _blocks(x.withColumn("text", text), type=F.when(F.col("filename").isNotNull(), "image").otherwise("paragraph"), page_number=F.col("section") + 1)
 
 
+def metadata(rows: DataFrame) -> DataFrame:
+    """doc_id, title, author, created_at, modified_at, page_count, version, description, keywords of each document."""
+    said = rows.where("kind IN ('meta', 'document')").withColumn("_name", _attr("name"))
+    first = lambda name: F.min_by(F.when(F.col("_name") == name, F.col("text")), F.when(F.col("_name") == name, F.col("ord")))
+    fields = [first(n).alias(n) for n in ("title", "author", "created_at", "modified_at")]
+    words = F.transform(F.sort_array(F.collect_list(F.when(F.col("_name") == "keyword", F.struct("ord", "text")))), lambda x: x["text"])
+    return said.groupBy("doc_id").agg(*fields, first("page_count").cast("int").alias("page_count"), first("version").alias("version"), first("description").alias("description"), words.alias("keywords"))
+
+
+def outline(found: DataFrame) -> DataFrame:
+    """The headings of blocks: doc_id, section, ord, level, text, page_number."""
+    return classify.outline(found).select(*TABLE, "level", "text", "page_number")
+
+
 def warnings(rows: DataFrame) -> DataFrame:
     """doc_id, page, code, message."""
     said = rows.where("kind = 'warning'").select("doc_id", (F.col("section") + 1).alias("page"), _attr("code").alias("code"), F.col("text").alias("message"))

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from paperloom.functions.equation import office_math_latex, script_latex
-from paperloom.sources import biff, hwp5
+from paperloom.functions.equation import office_math_latex
+from paperloom.sources import biff, hwp3, hwp5
+from paperloom.sources import hwpx as hwpx_parts
 from paperloom.sources.rows import Row, Unreadable, row
 from paperloom.sources.scan import MAX_ENTRIES, MAX_UNZIPPED, zip_directory
 from paperloom.sources.xmltree import Node, parse
@@ -109,7 +110,8 @@ def _worksheet(root: Node, section: int) -> Iterator[Row]:
 def docx(content: bytes) -> Iterator[Row]:
     with _open_zip(content) as z:
         names = set(z.namelist())
-        for rid, target in _relations(z, "word/_rels/document.xml.rels").items():
+        rels = _relations(z, "word/_rels/document.xml.rels")
+        for rid, target in rels.items():
             yield row("rel", text=target, id=rid)
         if "word/styles.xml" in names:
             for s in (n for n in parse(z.read("word/styles.xml")).walk() if n.tag == "style"):
@@ -128,8 +130,9 @@ def docx(content: bytes) -> Iterator[Row]:
                 if n.attrs.get("id") not in ("0", "-1"):
                     yield row("note", text="".join(t.full_text() for t in n.walk() if t.tag == "t"), id=n.attrs.get("id"))
         yield from _core(z)
-        body = parse(z.read("word/document.xml")).find("body")
-        for i, e in enumerate(body.kids if body else ()):
+        root = parse(z.read("word/document.xml"))
+        body = root.find("body")
+        for i, e in enumerate(_docx_body(body) if body else ()):
             if e.tag == "p":
                 yield _docx_paragraph(e, i)
             elif e.tag == "tbl":
@@ -140,6 +143,25 @@ def docx(content: bytes) -> Iterator[Row]:
                         text = "\n".join(map(_docx_text, tc.all("p")))
                         width = int(span.attrs.get("val", "1")) if span and span.attrs.get("val", "1").isdigit() else 1
                         yield row("cell", ord=i, r=r, c=c, text=text, span=max(1, width), merge=(merge.attrs.get("val") or "continue") if merge else None)
+        shown = (n.attrs.get("embed") for d in root.walk() if d.tag == "drawing" for n in d.walk() if n.tag == "blip")
+        for i, target in enumerate(rels[x] for x in shown if rels.get(x)):
+            part = target[1:] if target.startswith("/") else target if target.startswith("word/") else f"word/{target}"
+            if part in names:
+                ext = part.rpartition(".")[2].lower() if "." in part else "png"
+                yield row("image", ord=i, text=target, data=z.read(part), mime=DOCX_IMAGES.get(ext, "image/png"), ext=ext, apart=1)
+
+
+#: Media types of images by their extension.
+DOCX_IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "wmf": "image/wmf", "emf": "image/emf"}
+
+
+def _docx_body(node: Node) -> Iterator[Node]:
+    """Paragraphs and tables, also those in content controls."""
+    for k in node.kids:
+        if k.tag in ("p", "tbl"):
+            yield k
+        elif k.tag in ("sdt", "sdtContent", "customXml", "ins"):
+            yield from _docx_body(k)
 
 
 def _docx_text(n: Node) -> str:
@@ -147,6 +169,9 @@ def _docx_text(n: Node) -> str:
     if n.tag in ("oMath", "oMathPara"):
         latex, mark = office_math_latex(n), "$$" if n.tag == "oMathPara" else "$"
         return f" {mark}{latex}{mark} " if latex else ""
+    if n.tag == "r":
+        marks = {"tab": "\t", "br": "\n", "cr": "\n"}
+        return "".join(marks.get(k.tag) or _docx_text(k) for k in n.kids)
     return n.full_text() if n.tag == "t" else "".join(map(_docx_text, n.kids))
 
 
@@ -221,81 +246,18 @@ def _hwpml_table(t: Node, section: int, at: int) -> Iterator[Row]:
 
 
 def hwpx(content: bytes) -> Iterator[Row]:
-    with _open_zip(content) as z:
-        names = z.namelist()
-        header = next((n for n in names if n.endswith("header.xml")), None)
-        if header:
-            for n in parse(z.read(header)).walk():
-                if n.tag == "charPr" and n.attrs.get("height", "").isdigit():
-                    yield row("char", id=n.attrs.get("id"), size=int(n.attrs["height"]) / 100)
-        sections = _hwpx_sections(z, names)
-        if not sections:
-            raise Unreadable("HWPX에서 섹션 파일을 찾을 수 없습니다")
-        yield row("meta", text=str(len(sections)), name="page_count")
-        count = 0
-        for s, part in enumerate(sections):
-            if part not in names:
-                continue
-            try:
-                root = parse(z.read(part))
-            except Exception as e:
-                yield row("warning", s, text=f"섹션 {s + 1}: {e}", code="MALFORMED_XML")
-                continue
-            for e in _hwpx_content(root, 0):
-                if e.tag == "p":
-                    runs = e.all("run") + e.all("r")
-                    yield row("paragraph", s, count, text=re.sub(r"[ \t\n\r]+", " ", _hwpx_text(e)).strip(), char=runs[0].attrs.get("charPrIDRef") if runs else None)
-                else:
-                    yield from _hwpx_table(e, s, count)
-                count += 1
-
-
-def _hwpx_sections(z: zipfile.ZipFile, names: list[str]) -> list[str]:
-    manifest = next((n for n in names if n.lower().endswith("content.hpf")), None)
-    if manifest:
-        root = parse(z.read(manifest))
-        items = {n.attrs.get("id", ""): n.attrs.get("href", "") for n in root.walk() if n.tag == "item"}
-        is_section = lambda i: i.lower().startswith("s") or "section" in i.lower()
-        order = [n.attrs.get("idref", "") for n in root.walk() if n.tag == "itemref"]
-        found = [items[i] for i in order if i in items and is_section(i)] or sorted(h for i, h in items.items() if is_section(i))
-        if found:
-            return [h if h.startswith("Contents/") or "/" in h else f"Contents/{h}" for h in found]
-    return sorted(n for n in names if re.search(r"[Ss]ection\d+\.xml$", n))
-
-
-def _hwpx_content(node: Node, depth: int) -> Iterator[Node]:
-    for k in node.kids if depth < 200 else ():
-        if k.tag == "p":
-            yield k
-            yield from (t for t in _hwpx_content(k, depth + 1) if t.tag == "tbl")
-        elif k.tag == "tbl":
-            yield k
-        else:
-            yield from _hwpx_content(k, depth + 1)
-
-
-def _hwpx_text(node: Node) -> str:
-    out = ""
-    for k in node.kids:
-        if k.tag == "equation":
-            script = k.find("script")
-            latex = script_latex(script.full_text()) if script else ""
-            out += f" ${latex}$ " if latex else ""
-        elif k.tag not in ("tbl", "pic", "ctrl"):
-            out += k.full_text() if k.tag == "t" else _hwpx_text(k)
-    return out
-
-
-def _hwpx_table(t: Node, section: int, at: int) -> Iterator[Row]:
-    for r, line in enumerate(t.all("tr")):
-        for c, cell in enumerate(line.all("tc")):
-            addr, span = cell.find("cellAddr"), cell.find("cellSpan")
-            number = lambda n, k, d: int(n.attrs[k]) if n and n.attrs.get(k, "").isdigit() else d
-            text = "\n".join(x for p in cell.walk() if p.tag == "p" if (x := _hwpx_text(p).strip()))
-            yield row("cell", section, at, number(addr, "rowAddr", r), number(addr, "colAddr", c), text, span=min(200, max(1, number(span, "colSpan", 1))), rows=min(10_000, max(1, number(span, "rowSpan", 1))), placed=1 if addr else None)
+    try:
+        z = _open_zip(content)
+    except Unreadable:
+        raise
+    except Exception:  # zipfile fails in many ways on a damaged directory
+        yield from hwpx_parts.recovered(content)
+        return
+    with z:
+        yield from hwpx_parts.sections(z)
 
 
-DECODERS = {"xlsx": xlsx, "docx": docx, "hwpml": hwpml, "hwpx": hwpx, "xls": biff.xls, "hwp": hwp5.hwp}
+DECODERS = {"xlsx": xlsx, "docx": docx, "hwpml": hwpml, "hwpx": hwpx, "xls": biff.xls, "hwp": hwp5.hwp, "hwp3": hwp3.hwp3}
 _FIELDS = ("kind", "section", "ord", "r", "c", "text", "attrs", "data")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("section", pa.int32()), ("ord", pa.int64()), ("r", pa.int32()), ("c", pa.int32()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("data", pa.binary())])
 

@@ -9,7 +9,7 @@ import zlib
 from xml.sax.saxutils import escape, quoteattr
 
 
-def _zip(parts: dict[str, str]) -> bytes:
+def _zip(parts: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
@@ -48,13 +48,14 @@ def xlsx(name: str, rows: list[list[object]], merges: tuple[str, ...] = ()) -> b
     })
 
 
-def docx(paragraphs: list[str], headings: frozenset[int] = frozenset()) -> bytes:
+def docx(paragraphs: list[str], headings: frozenset[int] = frozenset(), inner: str = "", more: dict[str, str | bytes] | None = None) -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     style = '<w:pPr><w:pStyle w:val="H1"/></w:pPr>'
     body = "".join(f'<w:p>{style if i in headings else ""}<w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for i, p in enumerate(paragraphs))
     return _zip({
-        "word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>",
+        "word/document.xml": f"<w:document {w}><w:body>{body}{inner}</w:body></w:document>",
         "word/styles.xml": f'<w:styles {w}><w:style w:styleId="H1"><w:pPr><w:outlineLvl w:val="0"/></w:pPr></w:style></w:styles>',
+        **(more or {}),
     })
 
 
@@ -64,13 +65,15 @@ def hwpml(paragraphs: list[str], headings: frozenset[int] = frozenset()) -> byte
     return f'<?xml version="1.0" encoding="UTF-8"?><HWPML>{shape}<BODY><SECTION>{body}</SECTION></BODY></HWPML>'.encode()
 
 
-def hwpx(paragraphs: list[str], headings: frozenset[int] = frozenset()) -> bytes:
+def hwpx(paragraphs: list[str], headings: frozenset[int] = frozenset(), inner: str = "", more: dict[str, str | bytes] | None = None) -> bytes:
+    """``inner`` goes behind the paragraphs as it is, and ``more`` into the ZIP file."""
     body = "".join(f'<hp:p><hp:run charPrIDRef="{1 if i in headings else 0}"><hp:t>{escape(p)}</hp:t></hp:run></hp:p>' for i, p in enumerate(paragraphs))
     return _zip({
         "mimetype": "application/hwp+zip",
         "Contents/content.hpf": '<package><manifest><item id="section0" href="Contents/section0.xml"/></manifest><spine><itemref idref="section0"/></spine></package>',
         "Contents/header.xml": '<head><charPr id="0" height="1000"/><charPr id="1" height="1600"/></head>',
-        "Contents/section0.xml": f'<hs:sec xmlns:hs="s" xmlns:hp="p">{body}</hs:sec>',
+        "Contents/section0.xml": f'<hs:sec xmlns:hs="s" xmlns:hp="p">{body}{inner}</hs:sec>',
+        **(more or {}),
     })
 
 
@@ -166,6 +169,31 @@ def xls(name: str, rows: list[list[object]], merges: tuple[tuple[int, int, int,
     return compound({"Workbook": bof(5) + sheet(head_size) + table + _biff(0x0A, b"") + bof(0x10) + cells + merged + _biff(0x0A, b"")})
 
 
+def _johab(text: str) -> bytes:
+    return b"".join(struct.pack("<H", ord(ch)) if ord(ch) < 128 else ch.encode("johab", "ignore")[::-1] for ch in text)
+
+
+def hwp3_paragraph(units: bytes, follows: bool = False, chars: int | None = None) -> bytes:
+    """A paragraph of encoded ``units``, which count as ``chars``; none ends a list."""
+    n = len(units) // 2 if chars is None else chars
+    return struct.pack("<BHHB", follows, n, 1, 0) + bytes(37 + (0 if follows else 187) + 14) + units if n else bytes(43)
+
+
+def hwp3_table(cells: list[str], caption: str = "") -> bytes:
+    """The units of a table in a paragraph; they count as four."""
+    lists = b"".join(hwp3_paragraph(_johab(x)) + hwp3_paragraph(b"") for x in [*cells, caption])
+    return struct.pack("<HIH", 10, 0, 10) + bytes(80) + struct.pack("<HH", len(cells), 0) + bytes(27 * len(cells)) + lists
+
+
+def hwp3(paragraphs: list[str], title: str = "", packed: bool = True, locked: bool = False, last: bytes = b"") -> bytes:
+    """``last`` is a paragraph that is put in as it is."""
+    body = struct.pack("<7H", *[1] * 7).replace(b"\1\0", b"\1\0" + bytes(40)) + struct.pack("<H", 2) + bytes(2 * 238)
+    body += b"".join(hwp3_paragraph(_johab(p), i > 0) for i, p in enumerate(p for p in paragraphs if p.strip())) + last + hwp3_paragraph(b"")
+    head = b"HWP Document File V3.00 \x1a\1\2\3\4\5" + bytes(96) + struct.pack("<H", locked) + bytes(26) + struct.pack("<BBH", packed, 0, 6)
+    deflate = zlib.compressobj(wbits=-15)
+    return head + _johab(title)[:110].ljust(9 * 112, b"\0") + bytes(6) + (deflate.compress(body) + deflate.flush() if packed else body)
+
+
 def record(tag: int, level: int, data: bytes) -> bytes:
     small = len(data) < 0xFFF
     return struct.pack("<I", tag | level << 10 | (len(data) if small else 0xFFF) << 20) + (b"" if small else struct.pack("<I", len(data))) + data
