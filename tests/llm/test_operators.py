@@ -187,6 +187,16 @@ def test_ngram_join(spark, rows, docs, odd, empty, monkeypatch):
     assert ngram_join.similar_components(odd).count() == odd.count() and ngram_join.similar_components(empty).count() == 0
 
 
+def test_ngram_join_within_a_group_of_one_prefix(spark):
+    """Members of one group that link with each other but not with its first one, and no other group holds their tokens."""
+    names = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rare, x, y = names("r", 12), names("x", 38), names("y", 39)
+    texts = [rare + x, rare + y[:38], rare + y[1:]] + [x + y + names(f"own{k}w", 400) for k in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(docs.coalesce(1), shingle=1).collect()}
+    assert got == {i: 1 if i == 2 else i for i in range(len(texts))}
+
+
 def test_topk(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 8)).astype("f4")
