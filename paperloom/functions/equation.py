@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from xml.etree.ElementTree import ParseError
 
-from paperloom.sources.xmltree import Node
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from paperloom.sources.xmltree import Node, parse
 
 # Words of the equation script and their LaTeX.
 WORDS = {
@@ -162,3 +167,27 @@ def _math(n: Node) -> str:
 def office_math_latex(n: Node) -> str:
     """The LaTeX of an ``oMath`` or ``oMathPara`` element."""
     return _math(n).strip()
+
+
+def _scripts(scripts: pd.Series) -> pd.Series:
+    return scripts.map(lambda v: None if v is None else script_latex(v))
+
+
+def _math_texts(elements: pd.Series) -> pd.Series:
+    def one(v: str | None) -> str | None:
+        try:
+            return None if v is None else office_math_latex(parse(v))
+        except ParseError:
+            return None
+
+    return elements.map(one)
+
+
+def script_latex_column(c: Column) -> Column:
+    """`script_latex` of a column of equation scripts, by Arrow batches: the rewriting is recursive."""
+    return F.pandas_udf(_scripts, "string")(c)
+
+
+def office_math_column(c: Column) -> Column:
+    """`office_math_latex` of a column of math elements as XML; null where that can't be read."""
+    return F.pandas_udf(_math_texts, "string")(c)

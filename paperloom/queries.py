@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import equation
 from paperloom.functions import text as T
 from paperloom.operators import classify, grid, render
 
@@ -319,6 +320,33 @@ def nested_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("ord").alias("n_nationkey"), classify.nested_marker(F.col("number"), F.col("h")).alias("marker"))
 
 
+_SCRIPTS = [
+    (1, "{a} over {b}", r"\frac{ a } { b }"), (2, "{{1} over {2}} over {3}", r"\frac{ \frac{ 1 } { 2 } } { 3 }"), (3, "sqrt {x}", r"\sqrt { x }"), (4, "root {3} of {x}", r"\sqrt[ 3 ]{ x }"),
+    (5, "{bar {x}}", r"\overline{ x }"), (6, "OVERBRACE {a} {b}", r"\overbrace{ a }^{ b }"), (7, "LEFT { x RIGHT }", r"\left \{ x \right \}"), (8, "alpha`+ OMEGA", r"\alpha + \Omega"),
+]
+
+
+@query(f"SELECT id::BIGINT AS id, latex FROM {values_sql(_SCRIPTS, 'id, script, latex')}")
+def latex_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, [(i, x) for i, x, _ in _SCRIPTS], "id long, script string")
+    return rows.select("id", equation.script_latex_column(F.col("script")).alias("latex"))
+
+
+_MATH = [
+    (1, "<oMath><f><num><r><t>a</t></r></num><den><r><t>b</t></r></den></f></oMath>", r"\frac{a}{b}"),
+    (2, "<oMath><rad><deg><r><t>3</t></r></deg><e><r><t>b</t></r></e></rad></oMath>", r"\sqrt[3]{b}"),
+    (3, "<oMath><sSubSup><e><r><t>x</t></r></e><sub><r><t>i</t></r></sub><sup><r><t>2</t></r></sup></sSubSup></oMath>", "{x}_{i}^{2}"),
+    (4, "<oMath><d><e><r><t>y</t></r></e></d></oMath>", r"\left(y\right)"),
+    (5, "<oMath><f>", None),
+]
+
+
+@query(f"SELECT id::BIGINT AS id, latex FROM {values_sql(_MATH, 'id, xml, latex')}")
+def latex_office_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, [(i, x) for i, x, _ in _MATH], "id long, xml string")
+    return rows.select("id", equation.office_math_column(F.col("xml")).alias("latex"))
+
+
 # --- documents ----------------------------------------------------------------------------
 
 from paperloom.plans import convert  # noqa: E402
