@@ -318,6 +318,7 @@ def recovered(content: bytes) -> Iterator[Row]:
     """The sections of a file whose ZIP directory can't be read, without styles and images."""
     yield row("warning", text="손상된 ZIP에서 섹션을 복구했습니다", code="BROKEN_ZIP_RECOVERY")
     number = count = tables = 0
+    any_content = False
     for name, raw in _local_files(content):
         try:
             root = parse(raw)
@@ -327,6 +328,7 @@ def recovered(content: bytes) -> Iterator[Row]:
         section = _Section(None, number, count, tables, "none")
         section.content(root)
         yield from section.rows
+        any_content = any_content or any(r["kind"] != "warning" for r in section.rows)
         number, count, tables = number + 1, section.next, section.tables
-    if not count:
+    if not any_content:
         raise Unreadable("손상된 HWPX에서 섹션 데이터를 복구할 수 없습니다")
