@@ -1,12 +1,14 @@
 """Quality rules with adaptive thresholds; DataFrame functions only.
 
 Every text gets shape metrics in one narrow pass.  KLL quantile sketches of the metrics are
-built for each (lang, source), merged into one for each language, and give the thresholds: a
-document is rejected if a metric lies above ``median + max(margin, SPREADS * (q75 - q25))`` of
-its group (below the mirrored bound too for the mean word length).  A group of fewer than
-``MIN_GROUP`` documents takes its language's sketch.  The margins only keep a
-group without any spread from rejecting everything that differs at all.  The base rules
-come first, whatever the sketches say.
+built for each (lang, source) over the documents that pass the base rules, merged into one for
+each language, and give the thresholds: ``median + SPREADS * max(q75 - q25, q90 - median)`` of
+the group (for the mean word length the mirrored bound below too, with q10).  A group of fewer
+than ``MIN_GROUP`` documents takes its language's sketch.  A metric is a count over a size, so
+a document is rejected if its count lies more than ``NOISE`` standard deviations of a count
+beyond what the threshold gives for its size: a short text is not judged by one chance event,
+nor all that differ in a group without any spread.  The base rules come first, whatever the
+sketches say.
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang or
 source is a group value of its own; null doc_id is kept as a row; rows that repeat a doc_id
@@ -25,8 +27,9 @@ MIN_WORDS = 50
 MIN_GROUP = 100
 SPREADS = 6.0
 SKETCH_K = 2048
-#: The least distance from a group's median at which a metric counts as an outlier.
-MARGINS = {"symbol_ratio": 0.03, "repeat_ratio": 0.25, "dup_line_ratio": 0.35, "upper_ratio": 0.25, "word_length": 2.5}
+NOISE = 3.0
+#: Each metric's count and size.
+METRICS = {"symbol_ratio": ("n_symbols", "word_chars"), "repeat_ratio": ("n_repeat_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "upper_ratio": ("n_upper", "word_chars"), "word_length": ("word_chars", "n_words")}
 _BLANKS = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -77,28 +80,25 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     x = x.withColumn("n_words_i", F.col("n_words").cast("int"))
     for name, sql in _repeat_words(n="n_words_i"):
         x = x.withColumn(name, F.expr(sql))
-    over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return x.select(
-        "doc_id", "lang_key", "group_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        over("n_symbols", "word_chars").alias("symbol_ratio"),
-        over("n_repeat_words", "n_words").alias("repeat_ratio"),
-        over("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        over("n_upper", "word_chars").alias("upper_ratio"),
-        over("word_chars", "n_words").alias("word_length"),
+        "doc_id", "lang_key", "group_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
+        failed.alias("base_failed"),
     )
 
 
 def _thresholds(metrics: DataFrame) -> DataFrame:
-    sketch = [F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in MARGINS]
-    group = metrics.where("n_words > 0").groupBy("group_key", "lang_key").agg(F.count("*").alias("n"), *sketch)
-    lang = group.groupBy("lang_key").agg(*[F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(f"lang_{m}") for m in MARGINS])
+    ratio = [(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(m) for m, (a, b) in METRICS.items()]
+    sketch = [F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]
+    group = metrics.where("NOT base_failed").select("group_key", "lang_key", *ratio).groupBy("group_key", "lang_key").agg(F.count("*").alias("n"), *sketch)
+    lang = group.groupBy("lang_key").agg(*[F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(f"lang_{m}") for m in METRICS])
     both = group.join(lang, "lang_key")
     out: list[Column] = [F.col("group_key")]
-    for m, margin in MARGINS.items():
+    for m in METRICS:
         used = F.when(F.col("n") >= MIN_GROUP, F.col(m)).otherwise(F.col(f"lang_{m}"))
-        q = {p: F.kll_sketch_get_quantile_double(used, F.lit(p)) for p in (0.25, 0.5, 0.75)}
-        reach = F.greatest(F.lit(margin), F.lit(SPREADS) * (q[0.75] - q[0.25]))
-        out += [(q[0.5] + reach).alias(f"{m}_most"), (q[0.5] - reach).alias(f"{m}_least")]
+        q = {p: F.kll_sketch_get_quantile_double(used, F.lit(p)) for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
+        above, below = (SPREADS * F.greatest(q[0.75] - q[0.25], tail) for tail in (q[0.9] - q[0.5], q[0.5] - q[0.1]))
+        out += [(q[0.5] + above).alias(f"{m}_most"), F.greatest(q[0.5] - below, F.lit(0.0)).alias(f"{m}_least")]
     return both.select(*out)
 
 
@@ -109,14 +109,15 @@ def judge(docs: DataFrame, **columns: str) -> DataFrame:
     # a left join that AQE may split: one source can hold a third of all rows
     x = metrics.join(limits, "group_key", "left")
     odd = F.lit(False)
-    for m in MARGINS:
-        odd = odd | (F.col(m) > F.col(f"{m}_most"))
-    odd = odd | (F.col("word_length") < F.col("word_length_least"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    for m, (count, size) in METRICS.items():
+        most = F.col(size) * F.col(f"{m}_most")
+        odd = odd | (F.col(count) > most + NOISE * F.sqrt(most + 1))
+    least = F.col("n_words") * F.col("word_length_least")
+    odd = odd | (F.col("word_chars") < least - NOISE * F.sqrt(least + 1))
     return x.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"),
+        "base_failed",
+        (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"),
     )
 
 

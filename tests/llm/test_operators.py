@@ -297,6 +297,18 @@ def test_quality_rules(spark, rows, docs, odd, empty):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if x.kept}
 
 
+def test_quality_cutoffs_follow_the_spread_of_the_source(spark):
+    r = random.Random(5)
+
+    def text(mean):
+        return " ".join("".join(r.choices("abcdefghij", k=mean + k % 3 - 1)) for k in range(300))
+
+    rows = [(i, text(5), "en", "even") for i in range(150)] + [(200 + i, text(4 + i % 4), "en", "mixed") for i in range(150)]
+    rows += [(900, text(7), "en", "even"), (901, text(7), "en", "mixed"), (902, text(5) + " #", "en", "even")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {x.doc_id for x in quality_rules.judge(docs).where("NOT kept").collect()} == {900}
+
+
 def test_pipeline(spark, rows, empty):
     docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
