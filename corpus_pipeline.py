@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that held nothing but other documents' boilerplate go with it."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_lines_removed") == 0) | _has_words("text"))
+    """Lines of any length count; documents that held nothing but other documents' boilerplate go with it."""
+    out = line_dedup.dedup_lines(docs, min_words=1).where((F.col("n_lines_removed") == 0) | _has_words("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ from all documents but the first that has it, by (doc_id, line number), so that
 which many sites copied is never lost as a whole.
 
 Defined cases: a null text is empty; a null site counts as none; lines of fewer than
-``MIN_WORDS`` words always stay; a row with a null doc_id counts towards the spread and is
+``min_words`` words and blank lines always stay; a row with a null doc_id counts towards the spread and is
 left as it is; rows that repeat a doc_id are treated alike; an empty table gives an empty
 result; extra columns are kept.
 """
@@ -27,9 +27,9 @@ LG_K = 12
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
     x = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(site_col)).alias("h_site"), F.col(site_col).isNull().alias("no_site"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    x = x.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where(F.size(F.split("line", r"[\x20\x09-\x0D]+")) >= MIN_WORDS)
+    x = x.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where((F.col("line") != "") & (F.size(F.split("line", r"[\x20\x09-\x0D]+")) >= min_words))
     return x.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.when(~F.col("no_site"), F.col("h_site")).alias("site"))
 
 
@@ -49,9 +49,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialize(known.where(F.coalesce("exact", "sites") >= min_sites).select("h", "first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, and n_lines and n_lines_removed beside its columns."""
-    lines = materialize(_lines(docs, id_col, text_col, site_col))
+    lines = materialize(_lines(docs, id_col, text_col, site_col, min_words))
     found = lines.join(boilerplate(lines, min_sites), "h").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
     x = docs.join(gone, docs[id_col] == gone["_id"], "left").drop("_id")

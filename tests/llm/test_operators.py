@@ -309,6 +309,13 @@ def test_quality_cutoffs_follow_the_spread_of_the_source(spark):
     assert {x.doc_id for x in quality_rules.judge(docs).where("NOT kept").collect()} == {900}
 
 
+def test_pipeline_removes_short_lines_of_many_sites(spark):
+    rows = [(i, f"own words of number {i}\nAll rights reserved.\n\n版权所有\nonly {i % 9}", "en", f"s{i % 12}", 0) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {i: t if i == 0 else f"own words of number {i}\n\nonly {i % 9}" for i, t, *_ in rows}
+
+
 def test_pipeline(spark, rows, empty):
     docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
