@@ -3,8 +3,9 @@
 Documents are tokenised once, into a table in shared storage.  Document frequencies are
 counted over all documents (one number for each vocabulary entry).  Each task then packs
 the documents of its partition in shards of at most ``SHARD_TOKENS`` tokens: a BM25
-inverted index over the shard answers each seed document with its best unused neighbours,
-which fill the seed's window in turn; the last one is cut where the window ends and its rest
+inverted index over the shard answers each seed document with its unused neighbours, best
+first, which fill the seed's window in turn until it is full or none that shares a query term
+is left; the last one is cut where the window ends and its rest
 stays in the index.  A document longer than a window gives its full windows first and enters
 the index with the rest.  What is left at a shard's end is cut at powers of two, so no
 sequence needs padding.
@@ -33,7 +34,6 @@ SHARD_TOKENS = 4 << 20
 SHARD_ROWS = 1 << 16
 QUERY_TERMS = 12
 NEIGHBOURS = 48
-MAX_POSTINGS = 2048
 K1, B = 1.2, 0.75
 
 _encoders: dict[str, Encoder] = {}
@@ -93,7 +93,7 @@ class _Shard:
                 counts.append(c)
                 items.append(np.full(len(t), i, dtype=np.int64))
         if not terms:
-            self.weights, self.items, self.edges, self.by_item = np.zeros(0), np.zeros(0, np.int64), np.zeros(len(idf) + 1, np.int64), {}
+            self.by_item = {}
             return
         t, i, c = np.concatenate(terms), np.concatenate(items), np.concatenate(counts).astype(float)
         size = self.total[i] / max(1.0, float(self.total[self.left > 0].mean()))
@@ -103,25 +103,38 @@ class _Shard:
         order = np.argsort(t, kind="stable")
         self.items, self.weights = i[order], w[order]
         self.edges = np.searchsorted(t[order], np.arange(len(idf) + 1))
+        self.ends = self.edges[1:].copy()
         lengths = np.diff(self.edges)
-        useful = np.where((lengths[t] > 1) & (lengths[t] <= MAX_POSTINGS), w, -1.0)
+        useful = np.where(lengths[t] > 1, w, -1.0)
         self.by_item = {}
         for k, row in enumerate(rows):
             u = useful[cuts[k] : cuts[k + 1]]
             best = np.argpartition(u, -QUERY_TERMS)[-QUERY_TERMS:] if len(u) > QUERY_TERMS else np.arange(len(u))
             self.by_item[row] = t[cuts[k] : cuts[k + 1]][best[u[best] > 0]]
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """The best unused documents for a seed, best first."""
+    def _unused(self, term: int) -> slice:
+        """The term's postings; used documents are dropped from a list once it is walked."""
+        at, end = int(self.edges[term]), int(self.ends[term])
+        live = self.left[self.items[at:end]] > 0
+        n = int(np.count_nonzero(live))
+        if n < end - at:
+            self.items[at : at + n], self.weights[at : at + n] = self.items[at:end][live], self.weights[at:end][live]
+            self.ends[term] = at + n
+        return slice(at, at + n)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """The unused documents that share a query term with a seed, best first, in growing blocks."""
         terms = self.by_item.get(seed, ())
         if not len(terms):
-            return np.zeros(0, np.int64)
-        spans = [slice(self.edges[t], self.edges[t + 1]) for t in terms]
+            return
+        spans = [self._unused(t) for t in terms]
         scores = np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), minlength=len(self.ids))
-        scores[self.left == 0] = 0
-        best = np.argpartition(scores, -NEIGHBOURS)[-NEIGHBOURS:] if len(scores) > NEIGHBOURS else np.arange(len(scores))
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        rest, block = np.flatnonzero(scores), NEIGHBOURS
+        while len(rest):
+            order = np.argpartition(-scores[rest], block - 1) if len(rest) > block else np.arange(len(rest))
+            best, rest = rest[order[:block]], rest[order[block:]]
+            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            block *= 4
 
     def take(self, doc: int, room: int) -> tuple[int, int, int]:
         n = int(min(room, self.left[doc]))
@@ -147,7 +160,7 @@ class _Shard:
             near = self.neighbours(seed)
             row = [self.take(seed, room)]
             room -= row[0][2]
-            for doc in near.tolist():
+            for doc in near:
                 if not room:
                     break
                 if self.left[doc]:
@@ -196,6 +209,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     # the end token is in each document, so its count is the number of documents
     n_docs = df[end_id] if len(df) > end_id else 0.0
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    idf[end_id : end_id + 1] = 0  # the end token is no term
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

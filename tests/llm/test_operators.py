@@ -156,6 +156,16 @@ def test_packing(spark, rows, docs, odd, empty, window):
     assert packing.pack(odd, PATH).where("start = 0").count() == odd.count()
 
 
+def test_packing_fills_windows_with_neighbours_of_a_large_group():
+    r = np.random.default_rng(1)
+    hot, odd = np.arange(3, 23), [r.integers(100, 9000, 20) for _ in range(3000)]
+    ids = [x for pair in zip([hot] * 3000, odd, strict=True) for x in pair]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=9000)
+    shard = packing._Shard(ids, 2000, np.log1p((len(ids) - df + 0.5) / (df + 0.5)))
+    first = next(shard.sequences())
+    assert [d % 2 for d, _, _ in first] == [0] * 100
+
+
 def shingles(t):
     w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
