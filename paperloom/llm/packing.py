@@ -1,18 +1,25 @@
 """Lexical retrieval packing.
 
 Documents are tokenised once, into a table in shared storage.  Document frequencies are
-counted over all documents (one number for each vocabulary entry).  Each task then packs
-the documents of its partition in shards of at most ``SHARD_TOKENS`` tokens: a BM25
-inverted index over the shard answers each seed document with its unused neighbours, best
-first, which fill the seed's window in turn until it is full or none that shares a query term
-is left; the last one is cut where the window ends and its rest
-stays in the index.  A document longer than a window gives its full windows first and enters
-the index with the rest.  What is left at a shard's end is cut at powers of two, so no
-sequence needs padding.
+counted over all documents (one number for each vocabulary entry).  A document's route is the rarest of its
+terms that still stands in about a shard's worth of documents, and the table is ranged by
+route, so documents with a term in common come to lie in one shard however many input
+partitions or rows there are; a route that very many documents have is dealt over as many shards as it
+fills.  A table that one shard holds needs no route.
+
+A shard is at most ``SHARD_TOKENS`` tokens.  A BM25 inverted index over it answers each seed
+document, by all of its terms, with its unused neighbours, best first, which fill the seed's window in
+turn; if none that shares a term is left and the window still has room, the documents taken are asked in
+turn, and only when none of them has a neighbour do the next documents in order follow.  The last
+document is cut where the window ends and its rest stays in the index.  A document longer than a
+window gives its full windows first and enters the index with the terms of the rest.  What does not fill a window at a
+shard's end goes on into the partition's next one, and at a partition's end it is cut at powers of two, so
+no sequence needs padding.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and equal doc_ids are
-packed as rows of their own; a null doc_id stays null; an empty table gives no pieces; extra
-columns are ignored; a long text is cut into as many windows as it needs.
+packed as rows of their own; a null doc_id stays null; neighbours of equal score come in the
+shard's order; an empty table gives no pieces; extra columns are ignored; a long text is cut into as many
+windows as it needs.
 """
 
 from __future__ import annotations
@@ -32,8 +39,9 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 4 << 20
 SHARD_ROWS = 1 << 16
-QUERY_TERMS = 12
-NEIGHBOURS = 48
+PARTITIONS = 50_000  # a partition of a very large table holds more than one shard
+DENSE = 8  # a term that one in so many documents has is kept as a column
+FIRST_BLOCK = 64  # neighbours are put in order block by block
 K1, B = 1.2, 0.75
 
 _encoders: dict[str, Encoder] = {}
@@ -62,78 +70,138 @@ def _ids(row_ids: pa.Scalar, wide: bool) -> np.ndarray:
     return np.frombuffer(row_ids.as_buffer(), dtype="<u4" if wide else "<u2").copy()
 
 
+class _Distinct:
+    """The distinct values of small arrays of ids, without sorting."""
+
+    def __init__(self) -> None:
+        self.at = np.zeros(1 << 16, dtype=np.int64)
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values in the order in which each comes last, and how often each comes."""
+        top = int(x.max(initial=0))
+        if top >= len(self.at):
+            self.at = np.zeros(2 * top, dtype=np.int64)
+        places = np.arange(len(x))
+        self.at[x] = places
+        last = self.at[x]
+        counts = np.bincount(last, minlength=len(x))
+        kept = np.flatnonzero(last == places)
+        return x[kept], counts[kept]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
+    total, distinct, size = np.zeros(0, dtype=np.int64), _Distinct(), 0
     for batch in batches:
         for x, w in zip(batch["ids"], batch["wide"].to_pylist(), strict=True):
-            seen = np.unique(np.frombuffer(x.as_buffer(), dtype="<u4" if w else "<u2"))
-            if seen[-1] >= len(total):
-                total = np.pad(total, (0, int(seen[-1]) + 1 - len(total)))
+            ids = np.frombuffer(x.as_buffer(), dtype="<u4" if w else "<u2")
+            seen, _ = distinct(ids)
+            size += len(ids)
+            if int(seen.max()) >= len(total):
+                total = np.pad(total, (0, int(seen.max()) + 1 - len(total)))
             total[seen] += 1
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"token": pa.array(at), "df": pa.array(total[at])})
+    yield pa.RecordBatch.from_pydict({"token": pa.array([*at.tolist(), -1], pa.int64()), "df": pa.array([*total[at].tolist(), size], pa.int64())})
+
+
+def _route(rank: np.ndarray):
+    """Adds to each row its term of the highest rank; a token of rank 0 is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            routes = []
+            for x, w in zip(batch["ids"], batch["wide"].to_pylist(), strict=True):
+                routes.append(int(rank[np.frombuffer(x.as_buffer(), dtype="<u4" if w else "<u2")].max()))
+            columns = {c: batch[c] for c in ("doc_id", "wide", "ids")}
+            yield pa.RecordBatch.from_pydict(columns | {"route": pa.array(routes, pa.int64())})
+
+    return run
 
 
 class _Shard:
-    """The documents of one shard and the index over what is left of them."""
+    """The documents of one shard and the index over what is left of them.
+
+    ``done`` says how much of each document earlier shards have packed.
+    """
 
-    def __init__(self, ids: list[np.ndarray], window: int, idf: np.ndarray):
-        self.ids, self.window = ids, window
+    def __init__(self, ids: list[np.ndarray], window: int, idf: np.ndarray, done: list[int] | None = None):
+        self.ids, self.window, self.idf = ids, window, idf
         self.total = np.array([len(x) for x in ids], dtype=np.int64)
-        self.start = self.total // window * window
+        self.start = np.array(done if done is not None else [0] * len(ids), dtype=np.int64)
+        self.whole = [(i, at) for i, n in enumerate(self.total) for at in range(int(self.start[i]), int(n) - window + 1, window)]
+        self.start += (self.total - self.start) // window * window
         self.left = self.total - self.start
-        self._index(idf)
-
-    def _index(self, idf: np.ndarray) -> None:
-        terms, items, counts = [], [], []
-        for i, x in enumerate(self.ids):
-            if self.left[i]:
-                t, c = np.unique(x, return_counts=True)
-                terms.append(t.astype(np.int64))
-                counts.append(c)
-                items.append(np.full(len(t), i, dtype=np.int64))
-        if not terms:
-            self.by_item = {}
+        self._index()
+
+    def _index(self) -> None:
+        distinct = _Distinct()
+        self.docs = np.flatnonzero(self.left)  # by slot
+        found = [distinct(self.ids[i][self.start[i] :]) for i in self.docs]
+        self.terms = {int(i): t.astype(np.int64) for i, (t, _) in zip(self.docs, found, strict=True)}
+        t = np.concatenate([t for t, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+        c = np.concatenate([c for _, c in found]).astype(float) if found else np.zeros(0)
+        slot = np.repeat(np.arange(len(self.docs)), [len(t) for t, _ in found])
+        size = self.left[self.docs] / max(1.0, float(self.left[self.docs].mean()) if found else 1.0)
+        w = self.idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[slot]))
+        scored = w > 0
+        self.alive = np.bincount(t[scored], minlength=len(self.idf))
+        # postings of terms that many documents have are columns of a table, those of the others are lists
+        common = np.flatnonzero(self.alive * DENSE >= len(self.docs)) if found else t
+        self.column = np.full(len(self.idf), -1, dtype=np.int64)
+        self.column[common] = np.arange(len(common))
+        in_table = scored & (self.column[t] >= 0)
+        self.table = np.zeros((len(common), len(self.docs)), dtype=np.float32)
+        self.table[self.column[t[in_table]], slot[in_table]] = w[in_table]
+        in_list = scored & ~in_table
+        order = np.argsort(t[in_list], kind="stable")
+        self.slots, self.weights, self.by_term = slot[in_list][order], w[in_list][order], t[in_list][order]
+        self._bounds()
+
+    def _bounds(self) -> None:
+        self.edges = np.searchsorted(self.by_term, np.arange(len(self.idf) + 1))
+
+    def _drop_used(self) -> None:
+        """Used documents leave the index each time that half of them are used, so a posting is moved a bounded number of times."""
+        live = self.left[self.docs] > 0
+        if 2 * int(np.count_nonzero(live)) >= len(self.docs):
             return
-        t, i, c = np.concatenate(terms), np.concatenate(items), np.concatenate(counts).astype(float)
-        size = self.total[i] / max(1.0, float(self.total[self.left > 0].mean()))
-        w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * size))
-        cuts = np.cumsum([0, *map(len, terms)])
-        rows = [int(x[0]) for x in items]
-        order = np.argsort(t, kind="stable")
-        self.items, self.weights = i[order], w[order]
-        self.edges = np.searchsorted(t[order], np.arange(len(idf) + 1))
-        self.ends = self.edges[1:].copy()
-        lengths = np.diff(self.edges)
-        useful = np.where(lengths[t] > 1, w, -1.0)
-        self.by_item = {}
-        for k, row in enumerate(rows):
-            u = useful[cuts[k] : cuts[k + 1]]
-            best = np.argpartition(u, -QUERY_TERMS)[-QUERY_TERMS:] if len(u) > QUERY_TERMS else np.arange(len(u))
-            self.by_item[row] = t[cuts[k] : cuts[k + 1]][best[u[best] > 0]]
-
-    def _unused(self, term: int) -> slice:
-        """The term's postings; used documents are dropped from a list once it is walked."""
-        at, end = int(self.edges[term]), int(self.ends[term])
-        live = self.left[self.items[at:end]] > 0
-        n = int(np.count_nonzero(live))
-        if n < end - at:
-            self.items[at : at + n], self.weights[at : at + n] = self.items[at:end][live], self.weights[at:end][live]
-            self.ends[term] = at + n
-        return slice(at, at + n)
+        new = np.cumsum(live) - 1
+        keep = live[self.slots]
+        self.slots, self.weights, self.by_term = new[self.slots[keep]], self.weights[keep], self.by_term[keep]
+        self.docs, self.table = self.docs[live], np.ascontiguousarray(self.table[:, live])
+        self._bounds()
+
+    def scores(self, doc: int) -> np.ndarray:
+        """The BM25 score of each document in ``docs`` for the terms of ``doc``; used ones have none."""
+        terms = self.terms[doc]
+        terms = terms[self.alive[terms] > 0]
+        scores = np.zeros(len(self.docs))
+        columns = self.column[terms]
+        asked = columns[columns >= 0]
+        if len(asked):
+            wanted = np.zeros(len(self.table), dtype=np.float32)
+            wanted[asked] = 1
+            scores += wanted @ self.table
+        listed = terms[columns < 0]
+        at, n = self.edges[listed], self.edges[listed + 1] - self.edges[listed]
+        total = int(n.sum())
+        if total:
+            places = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(total)
+            scores += np.bincount(self.slots[places], self.weights[places], minlength=len(scores))
+        scores[self.left[self.docs] == 0] = 0
+        return scores
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """The unused documents that share a query term with a seed, best first, in growing blocks."""
-        terms = self.by_item.get(seed, ())
-        if not len(terms):
-            return
-        spans = [self._unused(t) for t in terms]
-        scores = np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), minlength=len(self.ids))
-        rest, block = np.flatnonzero(scores), NEIGHBOURS
+        """The unused documents that share a term with a seed, best first, in growing blocks."""
+        self._drop_used()
+        scores = self.scores(seed)
+        rest, block = np.flatnonzero(scores), FIRST_BLOCK
         while len(rest):
-            order = np.argpartition(-scores[rest], block - 1) if len(rest) > block else np.arange(len(rest))
-            best, rest = rest[order[:block]], rest[order[block:]]
-            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            if len(rest) > block:
+                least = np.partition(scores[rest], len(rest) - block)[len(rest) - block]
+                best, rest = rest[scores[rest] >= least], rest[scores[rest] < least]
+            else:
+                best, rest = rest, rest[:0]
+            yield from self.docs[best[np.lexsort((best, -scores[best]))]].tolist()
             block *= 4
 
     def take(self, doc: int, room: int) -> tuple[int, int, int]:
@@ -141,42 +209,48 @@ class _Shard:
         piece = (doc, int(self.start[doc]), n)
         self.start[doc] += n
         self.left[doc] -= n
+        if not self.left[doc]:
+            self.alive[self.terms[doc]] -= 1
         return piece
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Sequences of pieces (document, start, length)."""
-        for doc, whole in enumerate(self.start.tolist()):
-            for at in range(0, whole, self.window):
-                yield [(doc, at, self.window)]
-        pending: list[tuple[int, int, int]] = []
-        following = 0
-        n = len(self.ids)
+        """Full windows of pieces (document, start, length); what is left goes to ``pending``."""
+        for doc, at in self.whole:
+            yield [(doc, at, self.window)]
+        self.pending: list[tuple[int, int, int]] = []
+        following, n = 0, len(self.ids)
         while True:
             while following < n and not self.left[following]:
                 following += 1
             if following == n:
-                break
-            seed, room = following, self.window
-            near = self.neighbours(seed)
-            row = [self.take(seed, room)]
-            room -= row[0][2]
-            for doc in near:
-                if not room:
-                    break
-                if self.left[doc]:
-                    row.append(self.take(doc, room))
-                    room -= row[-1][2]
+                return
+            row = [self.take(following, self.window)]
+            room = self.window - row[0][2]
+            asked = 0
+            while room and asked < len(row):  # the seed, then the documents taken
+                for doc in self.neighbours(row[asked][0]):
+                    if self.left[doc]:
+                        row.append(self.take(doc, room))
+                        room -= row[-1][2]
+                        if not room:
+                            break
+                asked += 1
             after = following
-            while room and after < n:  # no neighbour is left: the next documents in order
+            while room and after < n:  # none of them has a neighbour left
                 if self.left[after]:
                     row.append(self.take(after, room))
                     room -= row[-1][2]
+                    for doc in self.neighbours(after) if room else ():
+                        if self.left[doc]:
+                            row.append(self.take(doc, room))
+                            room -= row[-1][2]
+                            if not room:
+                                break
                 after += 1
             if room:
-                pending = row
-                break
+                self.pending = row
+                return
             yield row
-        yield from _at_powers_of_two(pending)
 
 
 def _at_powers_of_two(row: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -198,14 +272,31 @@ def _at_powers_of_two(row: list[tuple[int, int, int]]) -> Iterator[list[tuple[in
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _routed(tokens: DataFrame, df: np.ndarray, n_docs: int, n_tokens: int, end_id: int) -> DataFrame:
+    """``tokens`` ranged so that documents with a term in common lie together."""
+    shards = n_tokens / SHARD_TOKENS
+    if shards <= 1:
+        return tokens.select("doc_id", "wide", "ids").coalesce(1)
+    # the rarest term first, of those that stand in a good part of a shard's documents
+    rank = np.where(df * 4 * shards >= n_docs, np.argsort(np.argsort(-df, kind="stable")) + 1, 0)
+    rank[end_id : end_id + 1] = 0
+    routed = tokens.select("doc_id", "wide", "ids").mapInArrow(_route(rank), "doc_id long, wide boolean, ids binary, route long")
+    salted = routed.withColumn("salt", F.xxhash64("doc_id", "ids"))
+    parts = int(min(PARTITIONS, np.ceil(shards)))
+    return salted.repartitionByRange(parts, "route", "salt").sortWithinPartitions("route", "salt").select("doc_id", "wide", "ids")
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     tokens = materialize(narrow.mapInArrow(_tokenize(path, end_id), "doc_id long, wide boolean, ids binary"))
     counted = tokens.select("wide", "ids").mapInArrow(_count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
-    rows = counted.collect()  # at most one row for each entry of the vocabulary
-    df = np.zeros(max((r.token for r in rows), default=0) + 1)
-    df[[r.token for r in rows]] = [r.df for r in rows]
+    rows = counted.collect()  # at most one row for each entry of the vocabulary, and one for all tokens
+    n_tokens = sum(r.df for r in rows if r.token < 0)
+    df = np.zeros(max((r.token for r in rows), default=-1) + 1 or 1)
+    for r in rows:
+        if r.token >= 0:
+            df[r.token] = r.df
     # the end token is in each document, so its count is the number of documents
     n_docs = df[end_id] if len(df) > end_id else 0.0
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
@@ -218,31 +309,47 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         sequence = TaskContext.get().partitionId() << 40
         names: list[int | None] = []
         ids: list[np.ndarray] = []
-        size = 0
+        done: list[int] = []
 
-        def shard() -> pa.RecordBatch:
-            nonlocal sequence, names, ids, size
-            s = _Shard(ids, window, shared.value)
+        def written(rows: Iterator[list[tuple[int, int, int]]]) -> pa.RecordBatch | None:
+            nonlocal sequence
             out = []
-            for row in s.sequences():
+            for row in rows:
                 offset = 0
                 for doc, start, n in row:
                     crc = zlib.crc32(ids[doc][start : start + n].astype("<u4").tobytes())
                     out.append((names[doc], start, n, crc, len(ids[doc]), sequence, offset))
                     offset += n
                 sequence += 1
-            names, ids, size = [], [], 0
+            if not out:
+                return None
             columns = zip(*out, strict=True)
             return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip([f.split()[0] for f in _PIECES.split(", ")], columns, strict=True)})
 
+        def shard(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal names, ids, done
+            s = _Shard(ids, window, shared.value, done)
+            if (out := written(s.sequences())) is not None:
+                yield out
+            if last:
+                if (out := written(_at_powers_of_two(s.pending))) is not None:
+                    yield out
+                return
+            # the window that is not full yet is the beginning of the next shard; a document's last piece there ends it
+            at = {doc: start for doc, start, _ in s.pending}
+            names, ids, done = [names[d] for d in at], [ids[d] for d in at], list(at.values())
+
+        size = 0
         for batch in batches:
             for name, x, w in zip(batch["doc_id"].to_pylist(), batch["ids"], batch["wide"].to_pylist(), strict=True):
                 names.append(name)
                 ids.append(_ids(x, w))
+                done.append(0)
                 size += len(ids[-1])
                 if size >= SHARD_TOKENS or len(ids) >= SHARD_ROWS:
-                    yield shard()
+                    yield from shard(False)
+                    size = sum(len(x) - d for x, d in zip(ids, done, strict=True))
         if ids:
-            yield shard()
+            yield from shard(True)
 
-    return tokens.mapInArrow(run, _PIECES)
+    return _routed(tokens, df, n_docs, n_tokens, end_id).mapInArrow(run, _PIECES)
