@@ -6,10 +6,13 @@ same documents, whichever executor reads it.
 
 The sketch has one row of counters, at least ``LOAD`` counters for each window, and it is
 never held as a whole: its counters are divided into slices by hash range.  Each block
-sends every slice its touched counters as sorted gaps (1-2 bytes a window), a slice's
-merge adds them up and answers each block with one code for each window: the magnitude
-of the (over-)estimated count.  Nothing is broadcast, a window in a third of all documents
-costs one entry for each of its blocks at most a few bytes, and slices are bounded.
+sends every slice the counters it touches, each once with its count (1-2 bytes for a
+sorted gap), a slice's merge adds them up and answers each block with one code for each
+counter: the magnitude of the (over-)estimated count.  Nothing is broadcast, a window in a third of
+all documents costs one entry for each block however often the block has it, and slices are bounded.
+
+A block's number holds its input partition in the upper bits: 2^26 partitions of 2^24 blocks, and
+with `ROW_BITS` more a row's number still fits 63 bits.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.llm._session import materialize
 
 BLOCK_BYTES = 2 << 20
-BLOCK_ROWS = 1 << 13
+ROW_BITS, MADE_BITS = 13, 24
+BLOCK_ROWS = 1 << ROW_BITS
 SLICE_WINDOWS = 2_000_000
 MIN_SLICES = 64
 LOAD = 32
-CODE_BOUNDS = (2, 16, 256)  # a count below the first has code 0, and so on
+CODE_BOUNDS = tuple(1 << b for b in range(1, 48))  # a count below the first has code 0, and so on
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -53,14 +58,21 @@ def load_arrays(data: bytes) -> dict[str, np.ndarray]:
     return {k: (t[k].chunk(0).to_numpy(zero_copy_only=False) if t[k].num_chunks else np.zeros(0, t[k].type.to_pandas_dtype())) for k in t.column_names}
 
 
-def _gaps(sorted_positions: np.ndarray) -> bytes:
+def _gaps(sorted_positions: np.ndarray, counts: np.ndarray) -> bytes:
     gaps = np.diff(sorted_positions, prepend=np.uint64(0))
-    return dump_arrays(a=(gaps & np.uint64(255)).astype(np.uint8), b=((gaps >> np.uint64(8)) & np.uint64(255)).astype(np.uint8), c=(gaps >> np.uint64(16)).astype(np.uint64))
+    more = (counts - 1).astype(np.uint8 if counts.max(initial=1) <= 256 else np.uint64)
+    return dump_arrays(a=(gaps & np.uint64(255)).astype(np.uint8), b=((gaps >> np.uint64(8)) & np.uint64(255)).astype(np.uint8), c=(gaps >> np.uint64(16)).astype(np.uint64), more=more)
 
 
-def _ungaps(data: bytes) -> np.ndarray:
+def _ungaps(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     x = load_arrays(data)
-    return np.cumsum(x["a"].astype(np.uint64) | (x["b"].astype(np.uint64) << np.uint64(8)) | (x["c"] << np.uint64(16)), dtype=np.uint64)
+    return np.cumsum(x["a"].astype(np.uint64) | (x["b"].astype(np.uint64) << np.uint64(8)) | (x["c"] << np.uint64(16)), dtype=np.uint64), x["more"].astype(np.int64) + 1
+
+
+def block_number(partition: int, made: int) -> int:
+    if made >> MADE_BITS:
+        raise OverflowError(f"more than {1 << MADE_BITS} blocks in one partition")
+    return partition << MADE_BITS | made
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +86,7 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal pending, size, rows, made
         table = pa.concat_tables(pending).combine_chunks()
         out = pa.RecordBatch.from_pydict({
-            "block_id": pa.array([(part << 32) | made], pa.int64()),
+            "block_id": pa.array([block_number(part, made)], pa.int64()),
             "n_bytes": pa.array([size], pa.int64()),
             "payload": pa.array([dump(table)], pa.large_binary()).cast(pa.binary()),
         })
@@ -100,10 +112,22 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block_id, n_bytes, payload) with all rows of ``docs``; a payload has doc_id and text."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(narrow.mapInArrow(_pack_blocks, "block_id long, n_bytes long, payload binary"))
+def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(block_id, n_bytes, payload) with all rows of ``docs``; a payload has doc_id and text, and with ``carry`` the other columns as ``row``."""
+    narrow = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    if carry:
+        narrow.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
+    return materialize(docs.select(*narrow).mapInArrow(_pack_blocks, "block_id long, n_bytes long, payload binary"))
+
+
+def carried(docs: DataFrame, text_col: str) -> StructType:
+    """The type of what `write_blocks` carries."""
+    return StructType([f for f in docs.schema.fields if f.name != text_col])
+
+
+def as_before(docs: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Carried rows (row, text) with the columns of ``docs`` again."""
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 Kernel = Callable[[pa.Table], np.ndarray]
@@ -112,8 +136,8 @@ Kernel = Callable[[pa.Table], np.ndarray]
 class Sketch:
     """Counters for the windows that ``kernel`` finds in the blocks' documents."""
 
-    def __init__(self, blocks: DataFrame, kernel: Kernel, windows_per_byte: float = 0.2):
-        self.blocks, self.kernel = blocks, kernel
+    def __init__(self, blocks: DataFrame, kernel: Kernel, bounds: tuple[int, ...] = CODE_BOUNDS, windows_per_byte: float = 0.2):
+        self.blocks, self.kernel, self.bounds = blocks, kernel, np.array(bounds)
         total = (blocks.agg(F.sum("n_bytes")).first()[0] or 0) * windows_per_byte
         self.bits = min(40, max(16, int(np.ceil(np.log2(max(1.0, LOAD * total))))))
         self.slice_bits = int(np.ceil(np.log2(max(MIN_SLICES, total / SLICE_WINDOWS))))
@@ -135,25 +159,26 @@ class Sketch:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block_id, payload in zip(batch["block_id"].to_pylist(), batch["payload"], strict=True):
-                    at = np.sort(me.positions(me.kernel(load(payload.as_buffer()))))
+                    at, counts = np.unique(me.positions(me.kernel(load(payload.as_buffer()))), return_counts=True)
                     edges = me.slice_edges(at)
                     keys = np.flatnonzero(np.diff(edges))
                     yield pa.RecordBatch.from_pydict({
                         "slice": pa.array(keys.astype(np.int32)),
                         "block_id": pa.array(np.full(len(keys), block_id, dtype=np.int64)),
-                        "payload": pa.array([_gaps(at[edges[k] : edges[k + 1]]) for k in keys], pa.binary()),
+                        "payload": pa.array([_gaps(at[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]]) for k in keys], pa.binary()),
                     })
 
         def merge(rows: pa.Table) -> pa.Table:
             parts = [_ungaps(x.as_buffer()) for x in rows["payload"]]
-            values, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            code = np.searchsorted(np.array(CODE_BOUNDS), counts, side="right").astype(np.uint8)[inverse]
-            ends = np.cumsum([len(p) for p in parts])
+            _, inverse = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([n for _, n in parts]))
+            code = np.searchsorted(me.bounds, total, side="right").astype(np.uint8)[inverse]
+            ends = np.cumsum([len(p) for p, _ in parts])
             return pa.table({
                 "block_id": rows["block_id"],
                 "kind": pa.array(np.zeros(len(parts), np.int32)),
                 "slice": rows["slice"],
-                "answer": pa.array([dump_arrays(code=code[e - len(p) : e]) for p, e in zip(parts, ends, strict=True)], pa.binary()),
+                "answer": pa.array([dump_arrays(code=code[e - len(p) : e]) for (p, _), e in zip(parts, ends, strict=True)], pa.binary()),
             })
 
         sent = self.blocks.select("block_id", "payload").mapInArrow(send, "slice int, block_id long, payload binary")
@@ -161,13 +186,12 @@ class Sketch:
 
     def decode(self, hashes: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
         """The code of each hash of a block, in the hashes' own order."""
-        at = self.positions(hashes)
-        order = np.argsort(at, kind="stable")
-        edges = self.slice_edges(at[order])
-        out = np.zeros(len(hashes), dtype=np.uint8)
+        at, inverse = np.unique(self.positions(hashes), return_inverse=True)
+        edges = self.slice_edges(at)
+        codes = np.zeros(len(at), dtype=np.uint8)
         for k in np.flatnonzero(np.diff(edges)):
-            out[order[edges[k] : edges[k + 1]]] = load_arrays(answers[int(k)])["code"]
-        return out
+            codes[edges[k] : edges[k + 1]] = load_arrays(answers[int(k)])["code"]
+        return codes[inverse]
 
 
 def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and read it back from the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where
-    that is unset, as in tests on one machine.
+    The folder is the session's ``spark.checkpoint.dir``.  One of our own is set only where that
+    is unset and the session runs on one machine, as in tests; on a cluster it is an error, as a
+    folder of one machine would be lost with it.
     """
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

@@ -12,15 +12,20 @@ t of its tokens counted twice or more has no link at all.
    against the group's first one, groups against the one that they share most prefix tokens
    with.  That is linear and finds what hangs together in large groups of copies.
 3. Groups are joined by prefix token, filtered by size and token position, only where they
-   hold different components so far; the group pairs are expanded into members and every
-   member pair is verified.  Where more than ``HOT`` groups hold a token, blocks of holders are
-   compared in place instead of being joined.  So no link between components is lost, and
-   pairs within a component that is known already are never made.
+   hold different components so far.  A pair of groups compares its first members; what that
+   does not join is expanded into members.  Jaccard distance is a metric, so a member whose
+   distance to its group's first one is too small to bridge the distance of the two first ones
+   is left out.  The member pairs are verified: few ones as joined rows, those of larger groups, and of
+   tokens that more than ``HOT`` groups hold, in blocks of members that a task compares in place.
+   So no link between components is lost, and pairs within a component that is known already are
+   never made.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer than five words
 make one shingle of the whole sequence; rows with a null doc_id link like others but give
-no component number; rows that repeat a doc_id are rows of their own with the same number
-or that of their component; an empty table gives an empty result; other columns are ignored.
+no component number (a component of such rows alone has none); rows that repeat a doc_id are rows of
+their own with the same number or that of their component; an empty table gives an empty result; other
+columns are ignored.  `first_of_each` chooses by row: of a component it keeps one row, that with the smallest doc_id
+(null last), also where rows share this id.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from paperloom.llm._blocks import Sketch, answers_of, load, with_answers, write_blocks
+from paperloom.llm._blocks import ROW_BITS, Sketch, answers_of, as_before, carried, load, with_answers, write_blocks
 from paperloom.llm._components import components
 from paperloom.llm._session import materialize
 from paperloom.llm._words import buffers, whole_hash, window_hashes, word_hashes, word_spans
@@ -41,6 +47,7 @@ from paperloom.llm._words import buffers, whole_hash, window_hashes, word_hashes
 SHINGLE = 5
 PERCENT = 80
 HOT = 64  # tokens with more holders are compared block by block
+HOT_PAIRS = 1024  # and so are pairs of groups with more pairs of members
 HOT_BLOCK = 384
 
 
@@ -69,8 +76,11 @@ def _prefix_length(n: int, percent: int) -> int:
 _SETS = "uid long, doc_id long, n long, set_key binary, group_key binary, skip int, tokens array<long>"
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    blocks = write_blocks(docs, id_col, text_col)
+def _uids(block_id: int, n: int) -> pa.Array:
+    return pa.array((block_id << ROW_BITS) + np.arange(n, dtype=np.int64))
+
+
+def _sets(blocks: DataFrame, k: int, percent: int) -> DataFrame:
     sketch = Sketch(blocks, lambda table: _flat(_shingle_sets(table, k)))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +104,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
                     skips.append(single)
                     tokens.append(ordered.view(np.int64))
                 yield pa.RecordBatch.from_pydict({
-                    "uid": pa.array((block_id << 13) + np.arange(len(sets), dtype=np.int64)),
+                    "uid": _uids(block_id, len(sets)),
                     "doc_id": table["doc_id"].combine_chunks(),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set_key": pa.array(set_keys, pa.binary()),
@@ -106,31 +116,31 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     return materialize(with_answers(blocks, materialize(sketch.codes())).mapInArrow(order, _SETS))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives that link."""
+def _overlaps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives with their sizes and what they have in common."""
     side = lambda c: reps.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("t_a", "t_b"))
-    return both.select("a", "b", "n_a", "n_b", common.alias("common")).where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    return both.select(*pairs.columns, "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("common"))
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return nodes.join(components(links).withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("label", "uid")).drop("label")
+def _links(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _hot_links(rows: DataFrame, hot: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components among the holders of each token that very many share.
+def _compared(x: DataFrame, y: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the rows (key, uid, comp) of x and y with one key.
 
-    The holders are dealt into blocks, and a task compares two blocks: it counts
+    Both sides are dealt into blocks, and a task compares two blocks: it counts
     common tokens in place and returns only links that join components not joined yet, so what it
     returns is linear in its input, however many pairs it has compared.
     """
-    blocks = lambda c: F.ceil(F.col(c) / HOT_BLOCK).cast("int")
-    dealt = lambda salt, n: F.pmod(F.xxhash64("gid", "comp", F.lit(salt)), F.col(n)).cast("int")
-    at = rows.join(hot, "token").withColumn("nx", blocks("m_brief")).withColumn("ny", blocks("m"))
-    x = at.where("brief").select("token", "gid", "comp", F.lit(True).alias("brief"), dealt(1, "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
-    y = at.select("token", "gid", "comp", F.lit(False).alias("brief"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), dealt(2, "ny").alias("by"))
-    tasks = x.unionByName(y).join(comps, ["gid", "comp"]).join(reps.select("uid", "tokens"), "uid")
+    blocks = lambda side, c: side.groupBy("key").agg(F.ceil(F.count("*") / HOT_BLOCK).cast("int").alias(c))
+    dealt = lambda salt, n: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = materialize(blocks(x, "nx").join(blocks(y, "ny"), "key"))
+    x = x.join(sizes, "key").select("key", "uid", "comp", F.lit(True).alias("brief"), dealt(1, "nx").alias("bx"), every("ny").alias("by"))
+    y = y.join(sizes, "key").select("key", "uid", "comp", F.lit(False).alias("brief"), every("nx").alias("bx"), dealt(2, "ny").alias("by"))
+    tasks = x.unionByName(y).join(reps.select("uid", "tokens"), "uid")
 
     def compare(table: pa.Table) -> pa.Table:
         brief = np.asarray(table["brief"].combine_chunks())
@@ -173,14 +183,47 @@ def _hot_links(rows: DataFrame, hot: DataFrame, comps: DataFrame, reps: DataFram
                     b.append(int(uid[mine[j]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tasks.groupBy("token", "bx", "by").applyInArrow(compare, "a long, b long")
+    return tasks.groupBy("key", "bx", "by").applyInArrow(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
-    sets = _sets(docs, id_col, text_col, shingle, percent)
+def _renamed(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` with comp replaced by the label of its component among ``links`` (a, b) of comps."""
+    label = components(links).select(F.col("node").alias("comp"), "label")
+    return comps.join(label, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+
+
+def _between(found: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links of representatives as links of their components."""
+    of = lambda c: comps.select(F.col("uid").alias(c), F.col("comp").alias(f"comp_{c}"))
+    return materialize(found.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+
+
+def _expanded(pairs: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the members of pairs (gid_x, comp_x, gid_y, comp_y, apart)."""
+    reach = comps.groupBy("gid", "comp").agg(F.max("far").alias("reach"), F.count("*").alias("m"))
+    for s in "xy":
+        pairs = pairs.join(reach.select(*[F.col(c).alias(f"{c}_{s}") for c in reach.columns]), [f"gid_{s}", f"comp_{s}"])
+    slack = 1 - percent / 100 + 1e-9
+    pairs = materialize(pairs.where(F.col("apart") <= F.col("reach_x") + F.col("reach_y") + F.lit(slack)))
+    large = F.col("m_x") * F.col("m_y") > HOT_PAIRS
+    side = lambda c, s: comps.select(F.col("uid").alias(c), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("far").alias(f"far_{s}"))
+    few = pairs.where(~large).join(side("a", "x"), ["gid_x", "comp_x"]).join(side("b", "y"), ["gid_y", "comp_y"])
+    few = few.where(F.col("apart") <= F.col("far_x") + F.col("far_y") + F.lit(slack)).select("a", "b")
+    many = pairs.where(large).withColumn("key", F.xxhash64("gid_x", "comp_x", "gid_y", "comp_y"))
+
+    def bridging(s: str, other: str) -> DataFrame:
+        rows = many.join(side("uid", s), [f"gid_{s}", f"comp_{s}"])
+        return rows.where(F.col("apart") <= F.col(f"far_{s}") + F.col(f"reach_{other}") + F.lit(slack)).select("key", "uid", F.col(f"comp_{s}").alias("comp"))
+
+    return _links(_overlaps(few, reps), percent).unionByName(_compared(bridging("x", "y"), bridging("y", "x"), reps, percent))
+
+
+def _all_components(blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id and keeper (the uid of the component's first row) of each row."""
+    sets = _sets(blocks, shingle, percent)
     linked = sets.where("set_key IS NOT NULL")
-    equal = materialize(linked.groupBy("set_key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_doc")))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("uid").alias("keeper")))
+    equal = materialize(linked.groupBy("set_key").agg(F.min("uid").alias("uid"), first_row.alias("first_row")))
     reps = materialize(linked.join(equal.select("uid"), "uid", "left_semi").select("uid", "n", "group_key", "skip", "tokens"))
 
     # groups of identical prefix and size
@@ -195,8 +238,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = prefix.join(leaders, "token").where("gid <> lead").groupBy("gid", "lead").agg(F.count("*").alias("m"))
     nearest = shared.groupBy("gid").agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("b")).withColumnRenamed("gid", "a")
     within = members.where("uid <> gid").select(F.col("uid").alias("a"), F.col("gid").alias("b"))
-    first = materialize(_verified(within.union(nearest), reps, percent))
-    comps = materialize(_labelled(members, first))
+    first = materialize(_overlaps(within.union(nearest), reps))
+    apart = F.lit(1.0) - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    far = first.select(F.col("a").alias("uid"), F.col("b").alias("gid"), apart.alias("far"))
+    comps = members.join(far, ["uid", "gid"], "left").select("uid", "gid", F.coalesce("far", F.lit(0.0)).alias("far"), F.col("uid").alias("comp"))
+    comps = materialize(_renamed(comps, _links(first, percent)))
 
     # the rest, exactly: pairs that share a token and belong to different components
     held = comps.select("gid", "comp").distinct()
@@ -204,7 +250,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a smaller set needs only the first n - ceil(2t/(1+t) n) + 1 of its tokens to meet a larger one
     brief = F.col("pos") <= F.expr(f"n - (({2 * percent} * n + {99 + percent}) div {100 + percent})")
     per_token = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(brief.cast("long")).alias("m_brief"))
-    mixed = materialize(per_token.where("lo < hi AND m_brief > 0").select("token", "m", "m_brief"))
+    mixed = materialize(per_token.where("lo < hi AND m_brief > 0").select("token", "m"))
 
     few = rows.join(mixed.where(F.col("m") <= HOT), "token", "left_semi")
     x = few.where(brief).select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "comp", "n", "pos")])
@@ -213,26 +259,46 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smaller = F.struct("n_x", "gid_x", "comp_x") < F.struct("n_y", "gid_y", "comp_y")
     fits = smaller & (F.col("comp_x") != F.col("comp_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
     pairs = materialize(x.join(y, "token").where(fits).select("gid_x", "comp_x", "gid_y", "comp_y").distinct())
-    side = lambda c, s: comps.select(F.col("uid").alias(c), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"))
-    expanded = pairs.join(side("a", "x"), ["gid_x", "comp_x"]).join(side("b", "y"), ["gid_y", "comp_y"])
-    second = _verified(expanded.select("a", "b"), reps, percent)
-    second = second.unionByName(_hot_links(rows.withColumn("brief", brief), mixed.where(F.col("m") > HOT), comps, reps, percent))
-    of = lambda c: comps.select(F.col("uid").alias(c), F.col("comp").alias(f"comp_{c}"))
-    between = materialize(second.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
-    final = comps.select("uid", F.col("comp").alias("c")).join(components(between).select(F.col("node").alias("c"), "label"), "c", "left").select("uid", F.coalesce("label", "c").alias("c"))
+    # the groups' first members; members of one group are known to share its prefix, so their distance to it is all that is missing
+    met = materialize(_overlaps(pairs.select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct(), reps).withColumn("apart", apart))
+    joined = components(_between(_links(met, percent), comps))
+    open_pairs = pairs.join(met.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"), "apart"), ["gid_x", "gid_y"])
+    for s in "xy":
+        open_pairs = open_pairs.join(joined.select(F.col("node").alias(f"comp_{s}"), F.col("label").alias(f"now_{s}")), f"comp_{s}", "left")
+    now = lambda s: F.coalesce(f"now_{s}", f"comp_{s}")
+    open_pairs = open_pairs.where(now("x") != now("y")).select("gid_x", "comp_x", "gid_y", "comp_y", "apart")
+    second = _links(met, percent).unionByName(_expanded(open_pairs, comps, reps, percent))
+
+    hot = rows.withColumn("brief", brief).join(mixed.where(F.col("m") > HOT), "token", "left_semi")
+    hot = hot.join(comps.select("uid", "gid", "comp"), ["gid", "comp"]).select(F.col("token").alias("key"), "uid", "comp", "brief")
+    second = second.unionByName(_compared(hot.where("brief").drop("brief"), hot.drop("brief"), reps, percent))
+    final = _renamed(comps.select("uid", "comp"), _between(second, comps))
 
     # back from representatives to all rows
-    named = equal.join(final, "uid", "left").select("set_key", "least_doc", F.coalesce("c", "uid").alias("c"))
-    named = materialize(named)
-    least = named.groupBy("c").agg(F.min("least_doc").alias("component_id"))
-    of_set = materialize(named.join(materialize(least), "c").select("set_key", "component_id"))
-    out = ("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")).select(*out)
+    named = materialize(equal.join(final, "uid", "left").select("set_key", "first_row", F.coalesce("comp", "uid").alias("c")))
+    least = named.groupBy("c").agg(F.min("first_row").alias("least"))
+    of_set = materialize(named.join(materialize(least), "c").select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.keeper").alias("keeper")))
+    out = ("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "keeper")
+    alone = sets.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("keeper", F.col("uid")).select(*out)
     return linked.join(of_set, "set_key").select(*out).unionByName(alone)
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component, the document with the smallest id."""
-    found = similar_components(docs, id_col=id_col, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
+    return _all_components(write_blocks(docs, id_col, text_col), shingle, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component, with all its columns."""
+    blocks = write_blocks(docs, id_col, text_col, carry=True)
+    gone = _all_components(blocks, shingle, percent).where("uid <> keeper").select("uid")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block_id, payload in zip(batch["block_id"].to_pylist(), batch["payload"], strict=True):
+                table = load(payload.as_buffer())
+                yield pa.RecordBatch.from_pydict({"uid": _uids(block_id, len(table)), "text": table["text"].combine_chunks().cast(pa.string()), "row": table["row"].combine_chunks()})
+
+    shape = StructType([StructField("uid", LongType()), StructField("text", StringType()), StructField("row", carried(docs, text_col))])
+    rows = blocks.select("block_id", "payload").mapInArrow(unpack, shape)
+    return as_before(docs, rows.join(gone, "uid", "left_anti"), text_col)

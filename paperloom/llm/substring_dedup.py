@@ -8,8 +8,9 @@ independent 32-bit one.  A word is removed if a window over it also starts in a
 a smaller doc_id.
 
 Defined cases: a null or empty text has no words; a null doc_id counts as larger than all
-others; rows with the same doc_id don't remove each other's words; texts of any length are
-taken whole; an empty table gives an empty result; other columns are ignored.
+others; rows with the same doc_id don't remove each other's words, and each row is cut by
+its own text; texts of any length are taken whole; an empty table gives an empty result; other
+columns are ignored (`repeated_words`) or kept as they are (`cut_documents`), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from paperloom.llm._blocks import Sketch, answers_of, dump_arrays, load, load_arrays, with_answers, write_blocks
+from paperloom.llm._blocks import Sketch, answers_of, carried, dump_arrays, load, load_arrays, with_answers, write_blocks
 from paperloom.llm._session import materialize
 from paperloom.llm._words import buffers, mix, window_hashes, word_hashes, word_spans
 
@@ -72,9 +74,18 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``text`` is the text without the removed words; each kept word keeps the white space
     after it.  ``kept_sha256`` is of the kept words joined by one space.
     """
+    return _cut(write_blocks(docs, id_col, text_col), window, None)
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(columns of ``docs`` as the struct ``row``, text, n_words, n_removed): each row with its cut text; untouched null texts stay null."""
+    return _cut(write_blocks(docs, id_col, text_col, carry=True), window, carried(docs, text_col))
+
+
+def _cut(blocks: DataFrame, window: int, row: StructType | None) -> DataFrame:
     k = window
-    blocks = write_blocks(docs, id_col, text_col)
-    sketch = Sketch(blocks, lambda table: _Text(table, k).hashes)
+    # whether a window may stand twice is all that the prefilter has to say
+    sketch = Sketch(blocks, lambda table: _Text(table, k).hashes, bounds=(2,))
     estimated = materialize(sketch.codes())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +122,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, answers in zip(batch["payload"], batch["answers"], strict=True):
-                text, by_kind = _Text(load(payload.as_buffer()), k), answers_of(answers)
+                table = load(payload.as_buffer())
+                text, by_kind = _Text(table, k), answers_of(answers)
                 kept, member, h, _, least = _entries(text, sketch.decode(text.hashes, by_kind.get(0, {})), k)
                 edges = sketch.slice_edges(sketch.positions(h))
                 earlier = np.zeros(len(h), dtype=bool)
@@ -123,11 +135,18 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cover = np.zeros(len(text.starts) + k + 1, dtype=np.int32)
                 np.add.at(cover, gone, 1)
                 np.add.at(cover, gone + k, -1)
-                yield _results(text, np.cumsum(cover)[: len(text.starts)] > 0)
+                out = _results(text, np.cumsum(cover)[: len(text.starts)] > 0)
+                if row is not None:
+                    whole = pa.array(out["text"].to_pylist(), pa.string(), mask=np.asarray(table["text"].combine_chunks().is_null()))
+                    out = pa.RecordBatch.from_pydict({"row": table["row"].combine_chunks(), "text": whole, "n_words": out["n_words"], "n_removed": out["n_removed"]})
+                yield out
 
     exact = with_answers(blocks, estimated).mapInArrow(send, "slice int, block_id long, payload binary")
     grouped = exact.groupBy("slice").applyInArrow(group, "block_id long, kind int, slice int, answer binary")
-    return with_answers(blocks, estimated, grouped).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+    if row is not None:
+        shape = StructType([StructField("row", row), StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    return with_answers(blocks, estimated, grouped).mapInArrow(cut, shape)
 
 
 def _results(text: _Text, removed: np.ndarray) -> pa.RecordBatch:
