@@ -84,7 +84,7 @@ WITH l AS (
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
 k AS (SELECT *, trim(line, {_BLANKS}) AS key FROM l),
-w AS (SELECT * FROM k WHERE len(regexp_split_to_array(key, '[\\x20\\x09-\\x0D]+')) >= 5),
+w AS (SELECT * FROM k WHERE key <> ''),
 b AS (SELECT key, min({{'d': doc_id, 'p': pos}}) AS first FROM w GROUP BY key HAVING count(DISTINCT source) >= 10),
 g AS (SELECT w.doc_id, w.pos FROM w JOIN b USING (key) WHERE NOT (w.doc_id = b.first.d AND w.pos = b.first.p)),
 t AS (
