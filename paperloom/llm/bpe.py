@@ -5,7 +5,7 @@ inside a word.  From the left, the longest match that is compatible with the tok
 it is taken; where none fits, the encoder goes back one token and marks the position as a dead end,
 so each position fails once at most and the work is linear.  Two tokens are compatible if
 the merges that make them could not have joined across their border first, which is looked
-up in a memoised pair table.  The result is exactly that of applying the merges in
+up in a memoised pair table (kept up to a fixed number).  The result is exactly that of applying the merges in
 order.  Encoded words are cached up to a fixed number.
 
 Decoding gathers from one byte string through a table of token offsets.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 CACHED_WORDS = 600_000
+CACHED_PAIRS = 1_000_000
 _END = "</w>"
 _LAST = 0x1000  # added to a byte's code point where the byte ends a word
 
@@ -101,9 +102,13 @@ class Vocabulary:
             self.lengths[i] = len(inner)
             self.automaton.add_word(inner, i)
         self.automaton.make_automaton()
+        newest = -1
         for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = self.ids[a], self.ids[b], self.ids[a + b]
+            if max(x, y) >= z or self.parts[z] == (z, z) and z <= newest:
+                raise ValueError(f"{path} does not number its tokens in the order of its merges")
+            newest = max(newest, z)
             if self.joined.setdefault(x << 32 | y, z) == z and self.parts[z] == (z, z):
                 self.parts[z] = (x, y)
         self.compatible: dict[int, bool] = {}
@@ -123,6 +128,8 @@ class Vocabulary:
         key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) >= CACHED_PAIRS:
+                self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
 

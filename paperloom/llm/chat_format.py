@@ -46,8 +46,13 @@ def unescape(c: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """A token estimate that needs no tokenizer: a token for each started four characters, four for the marks."""
-    return F.ceil(F.length(text) / 4) + 4
+    """A token estimate that needs no tokenizer.
+
+    A token for each started four of the ASCII letters and blanks, one for each other ASCII character, and
+    one for each UTF-8 byte of all others, of which no byte-level vocabulary makes more; four for the marks.
+    """
+    others = F.regexp_replace(text, r"[A-Za-z\s]+", "")
+    return F.ceil((F.length(text) - F.length(others)) / 4) + F.octet_length(others) + 4
 
 
 def _marks(role: Column) -> tuple[Column, Column]:
@@ -57,10 +62,16 @@ def _marks(role: Column) -> tuple[Column, Column]:
     return before, after
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, window, text, n_repeated (turns that an earlier window has) and loss_spans (start, length in code points)."""
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """conv_id, window, text, n_repeated (turns that an earlier window has) and loss_spans (start, length in code points).
+
+    ``tokens_col`` may name a column with the number of tokens of each turn's text, as an encoder counts them;
+    without one, or where it is null, `tokens` estimates them.
+    """
+    size = tokens(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    size = size if tokens_col is None else F.coalesce(F.col(tokens_col) + 4, size)
     role, raw = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    x = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), raw.alias("raw"))
+    x = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), raw.alias("raw"), size.cast("long").alias("tok"))
     by_conv = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
     x = x.withColumn("pos", F.row_number().over(by_conv))
     before, after = _marks(F.col("role"))
@@ -69,7 +80,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         ((F.col("pos") == 1) & (F.col("role") == "system")).alias("lead"),
         (F.col("role") == "assistant").alias("target"),
         before.alias("before"), escape(F.col("raw")).alias("body"), after.alias("after"),
-        tokens(F.col("raw")).cast("long").alias("tok"),
+        "tok",
     )
     piece = F.struct("pos", "target", "before", "body", "after")
     so_far = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
