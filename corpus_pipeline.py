@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, substring dedup, packing.
 
 Each stage takes the documents that its predecessor kept, as they stand in shared storage.
+
+Defined cases, in every stage: rows are judged and cut each by its own text, also where they share a
+doc_id; rows with a null doc_id come last in any order and are treated like others; a null text fails the
+quality rules; extra columns, whatever their names, pass through all stages but the last; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import line_dedup, ngram_join, packing, quality_rules, substring_dedup
+from paperloom.llm._blocks import as_before
 from paperloom.llm._session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,10 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+def _kept(docs: DataFrame, cut: DataFrame, removed: str) -> DataFrame:
+    """The columns of ``docs`` of rows (row, text) that lost nothing or still have words; n_chars follows the text."""
+    out = cut.where((F.col(removed) == 0) | F.coalesce(_has_words("text"), F.lit(False)))
+    if "n_chars" in docs.columns:
+        n = F.when(F.col(removed) == 0, F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("row", F.col("row").withField("n_chars", n))
+    return as_before(docs, out)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length count; documents that held nothing but other documents' boilerplate go with it."""
-    out = line_dedup.dedup_lines(docs, min_words=1).where((F.col("n_lines_removed") == 0) | _has_words("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents that held nothing but other documents' boilerplate go with it."""
+    return _kept(docs, line_dedup.cut_documents(docs), "n_lines_removed")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that held nothing but repeated passages go with them."""
-    cut = substring_dedup.repeated_words(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "n_removed")
-    cut = cut.where("n_removed > 0").groupBy("_id").agg(F.min("_text").alias("_text"))
-    x = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    x = x.withColumn("text", F.coalesce("_text", "text")).where(F.col("_text").isNull() | _has_words("_text"))
-    return x.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _kept(docs, substring_dedup.cut_documents(docs), "n_removed")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
