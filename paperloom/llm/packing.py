@@ -2,10 +2,10 @@
 
 Documents are tokenised once, into a table in shared storage.  Document frequencies are
 counted over all documents (one number for each vocabulary entry).  A document's route is the rarest of its
-terms that still stands in about a shard's worth of documents, and the table is ranged by
+terms that still stands in about a shard's worth of documents, and the table is dealt by
 route, so documents with a term in common come to lie in one shard however many input
-partitions or rows there are; a route that very many documents have is dealt over as many shards as it
-fills.  A table that one shard holds needs no route.
+partitions or rows there are; a route that very many documents may have is dealt over as many shards as
+they fill.  A table that one shard holds needs no route.
 
 A shard is at most ``SHARD_TOKENS`` tokens.  A BM25 inverted index over it answers each seed
 document, by all of its terms, with its unused neighbours, best first, which fill the seed's window in
@@ -55,19 +55,20 @@ def _tokenize(path: str, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                ids = [np.frombuffer(encoder.encode(x.as_py()) + end, dtype="<u4") for x in piece["text"]]
-                wide = [bool(x.max() >> 16) for x in ids]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": piece["doc_id"],
-                    "wide": pa.array(wide),
-                    "ids": pa.array([x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(ids, wide, strict=True)], pa.binary()),
-                })
+                ids = [encoder.encode(x.as_py()) + end for x in piece["text"]]
+                # two bytes hold the ids of most vocabularies; a batch with a larger one is stored in four
+                flat = np.frombuffer(b"".join(ids), dtype="<u4")
+                wide = bool(flat.max() >> 16)
+                offsets = np.cumsum([0, *map(len, ids)]) // (1 if wide else 2)
+                data = pa.py_buffer(flat if wide else flat.astype("<u2"))
+                column = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), data])
+                yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "wide": pa.array(np.full(len(ids), wide)), "ids": column})
 
     return run
 
 
 def _ids(row_ids: pa.Scalar, wide: bool) -> np.ndarray:
-    return np.frombuffer(row_ids.as_buffer(), dtype="<u4" if wide else "<u2").copy()
+    return np.frombuffer(row_ids.as_buffer(), dtype="<u4" if wide else "<u2")
 
 
 class _Distinct:
@@ -76,43 +77,46 @@ class _Distinct:
     def __init__(self) -> None:
         self.at = np.zeros(1 << 16, dtype=np.int64)
 
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values in the order in which each comes last, and how often each comes."""
-        top = int(x.max(initial=0))
+    def _last(self, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each value comes last, for each place; and which places those are."""
         if top >= len(self.at):
             self.at = np.zeros(2 * top, dtype=np.int64)
         places = np.arange(len(x))
         self.at[x] = places
         last = self.at[x]
-        counts = np.bincount(last, minlength=len(x))
-        kept = np.flatnonzero(last == places)
-        return x[kept], counts[kept]
+        return last, last == places
+
+    def values(self, x: np.ndarray, top: int) -> np.ndarray:
+        return x[self._last(x, top)[1]]
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values in the order in which each comes last, and how often each comes."""
+        last, kept = self._last(x, int(x.max(initial=0)))
+        return x[kept], np.bincount(last, minlength=len(x))[kept]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, distinct, size = np.zeros(0, dtype=np.int64), _Distinct(), 0
     for batch in batches:
         for x, w in zip(batch["ids"], batch["wide"].to_pylist(), strict=True):
-            ids = np.frombuffer(x.as_buffer(), dtype="<u4" if w else "<u2")
-            seen, _ = distinct(ids)
+            ids = _ids(x, w)
             size += len(ids)
-            if int(seen.max()) >= len(total):
-                total = np.pad(total, (0, int(seen.max()) + 1 - len(total)))
-            total[seen] += 1
+            top = int(ids.max())
+            if top >= len(total):
+                total = np.pad(total, (0, top + 1 - len(total)))
+            total[distinct.values(ids, top)] += 1
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"token": pa.array([*at.tolist(), -1], pa.int64()), "df": pa.array([*total[at].tolist(), size], pa.int64())})
 
 
-def _route(rank: np.ndarray):
-    """Adds to each row its term of the highest rank; a token of rank 0 is none."""
+def _route(rank: np.ndarray, splits: np.ndarray):
+    """Adds to each row its term of the highest rank, as that rank, and over how many shards its documents are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            routes = []
-            for x, w in zip(batch["ids"], batch["wide"].to_pylist(), strict=True):
-                routes.append(int(rank[np.frombuffer(x.as_buffer(), dtype="<u4" if w else "<u2")].max()))
+            route = np.array([rank[_ids(x, w)].max() for x, w in zip(batch["ids"], batch["wide"].to_pylist(), strict=True)], dtype=np.int64)
             columns = {c: batch[c] for c in ("doc_id", "wide", "ids")}
-            yield pa.RecordBatch.from_pydict(columns | {"route": pa.array(routes, pa.int64())})
+            yield pa.RecordBatch.from_pydict(columns | {"route": pa.array(route), "split": pa.array(splits[route])})
 
     return run
 
@@ -273,17 +277,23 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def _routed(tokens: DataFrame, df: np.ndarray, n_docs: int, n_tokens: int, end_id: int) -> DataFrame:
-    """``tokens`` ranged so that documents with a term in common lie together."""
+    """``tokens`` dealt so that documents with a term in common lie together."""
     shards = n_tokens / SHARD_TOKENS
     if shards <= 1:
         return tokens.select("doc_id", "wide", "ids").coalesce(1)
-    # the rarest term first, of those that stand in a good part of a shard's documents
-    rank = np.where(df * 4 * shards >= n_docs, np.argsort(np.argsort(-df, kind="stable")) + 1, 0)
+    # the rarest term first, of those that stand in a good part of a shard's documents; rank 0 is none
+    order = np.argsort(-df, kind="stable")
+    rank = np.zeros(len(df), dtype=np.int64)
+    rank[order] = np.arange(1, len(df) + 1)
+    rank[df * 4 * shards < n_docs] = 0
     rank[end_id : end_id + 1] = 0
-    routed = tokens.select("doc_id", "wide", "ids").mapInArrow(_route(rank), "doc_id long, wide boolean, ids binary, route long")
-    salted = routed.withColumn("salt", F.xxhash64("doc_id", "ids"))
+    # no route has more documents than its term stands in
+    most = np.concatenate([[n_docs], df[order]])
+    splits = np.maximum(1, np.ceil(most * shards / max(1, n_docs))).astype(np.int64)
+    routed = tokens.select("doc_id", "wide", "ids").mapInArrow(_route(rank, splits), "doc_id long, wide boolean, ids binary, route long, split long")
+    routed = routed.withColumn("salt", F.xxhash64("doc_id", "ids")).withColumn("part", F.pmod("salt", "split"))
     parts = int(min(PARTITIONS, np.ceil(shards)))
-    return salted.repartitionByRange(parts, "route", "salt").sortWithinPartitions("route", "salt").select("doc_id", "wide", "ids")
+    return routed.repartition(parts, "route", "part").sortWithinPartitions("route", "part", "salt").select("doc_id", "wide", "ids")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
