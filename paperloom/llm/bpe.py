@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 CACHED_PAIRS = 1_000_000
 _END = "</w>"
 _LAST = 0x1000  # added to a byte's code point where the byte ends a word
@@ -72,12 +72,15 @@ class Splitter:
         self.normalize = own.normalizer.normalize_str
         self.split = pre_tokenizers.Split(Regex(rf"{_SUFFIXES}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"), "removed", invert=True).pre_tokenize_str
 
-    def words(self, text: str) -> list[str]:
+    def normal(self, text: str) -> str:
         if text.isascii():
-            return _ASCII.findall(text.lower())
-        if _BEYOND.search(text):
-            return [w for w, _ in self.split(self.normalize(text))]
-        return _LATIN.findall(unicodedata.normalize("NFC", text).lower())
+            return text.lower()
+        return self.normalize(text) if _BEYOND.search(text) else unicodedata.normalize("NFC", text).lower()
+
+    def words(self, normal: str) -> list[str]:
+        if normal.isascii():
+            return _ASCII.findall(normal)
+        return [w for w, _ in self.split(normal)] if _BEYOND.search(normal) else _LATIN.findall(normal)
 
 
 class Vocabulary:
@@ -196,32 +199,43 @@ def _pack_ids(ids: list[int]) -> bytes:
 
 
 class Encoder(dict):
-    """Texts to ids as little-endian unsigned 32-bit integers; the dict caches words."""
+    """Texts to ids as little-endian unsigned 32-bit integers.
+
+    No piece reaches over white space, so a text is cut at its ASCII blanks, and the dict caches what stands between
+    them, in UTF-8: a word, or several pieces such as a word and a full stop.
+    """
 
     def __init__(self, path: str, added: dict[str, int], encode_word):
         super().__init__()
-        self.words = Splitter(path).words
+        self.splitter = Splitter(path)
         self.added, self.encode_word = added, encode_word
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, run: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        out = _pack_ids(self.encode_word(word))
-        if len(word) <= 64:
-            self[word] = out
+        words = self.splitter.words(run.decode())
+        if len(words) == 1 and len(words[0].encode()) == len(run):
+            out = _pack_ids(self.encode_word(words[0]))
+        else:
+            out = b"".join([self[w.encode()] for w in words])
+        if len(run) <= 64:
+            self[run] = out
         return out
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.splitter.normal(text).encode().split()))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not any(a in text for a in self.added):
-            return b"".join(map(self.__getitem__, self.words(text)))
+            return self._plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*map(self.__getitem__, self.words(text[at : m.start()])), np.array([self.added[m[0]]], dtype="<u4").tobytes()]
+            out += [self._plain(text[at : m.start()]), np.array([self.added[m[0]]], dtype="<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.__getitem__, self.words(text[at:]))])
+        return b"".join([*out, self._plain(text[at:])])
 
 
 _loaded: dict[str, tuple[Vocabulary, Encoder]] = {}
