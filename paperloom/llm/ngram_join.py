@@ -41,7 +41,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from paperloom.llm._blocks import ROW_BITS, Sketch, answers_of, as_before, carried, load, with_answers, write_blocks
 from paperloom.llm._components import components
-from paperloom.llm._session import materialize
+from paperloom.llm._session import materialize, written
 from paperloom.llm._words import buffers, whole_hash, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def _compared(x: DataFrame, y: DataFrame, reps: DataFrame, percent: int) -> Data
     blocks = lambda side, c: side.groupBy("key").agg(F.ceil(F.count("*") / HOT_BLOCK).cast("int").alias(c))
     dealt = lambda salt, n: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sizes = materialize(blocks(x, "nx").join(blocks(y, "ny"), "key"))
+    sizes = written(blocks(x, "nx").join(blocks(y, "ny"), "key"))
     x = x.join(sizes, "key").select("key", "uid", "comp", F.lit(True).alias("brief"), dealt(1, "nx").alias("bx"), every("ny").alias("by"))
     y = y.join(sizes, "key").select("key", "uid", "comp", F.lit(False).alias("brief"), every("nx").alias("bx"), dealt(2, "ny").alias("by"))
     tasks = x.unionByName(y).join(reps.select("uid", "tokens"), "uid")
@@ -195,7 +195,7 @@ def _renamed(comps: DataFrame, links: DataFrame) -> DataFrame:
 def _between(found: DataFrame, comps: DataFrame) -> DataFrame:
     """Links of representatives as links of their components."""
     of = lambda c: comps.select(F.col("uid").alias(c), F.col("comp").alias(f"comp_{c}"))
-    return materialize(found.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+    return written(found.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
 
 
 def _expanded(pairs: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _expanded(pairs: DataFrame, comps: DataFrame, reps: DataFrame, percent: int)
     for s in "xy":
         pairs = pairs.join(reach.select(*[F.col(c).alias(f"{c}_{s}") for c in reach.columns]), [f"gid_{s}", f"comp_{s}"])
     slack = 1 - percent / 100 + 1e-9
-    pairs = materialize(pairs.where(F.col("apart") <= F.col("reach_x") + F.col("reach_y") + F.lit(slack)))
+    pairs = written(pairs.where(F.col("apart") <= F.col("reach_x") + F.col("reach_y") + F.lit(slack)))
     large = F.col("m_x") * F.col("m_y") > HOT_PAIRS
     side = lambda c, s: comps.select(F.col("uid").alias(c), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("far").alias(f"far_{s}"))
     few = pairs.where(~large).join(side("a", "x"), ["gid_x", "comp_x"]).join(side("b", "y"), ["gid_y", "comp_y"])
@@ -223,34 +223,34 @@ def _all_components(blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
     sets = _sets(blocks, shingle, percent)
     linked = sets.where("set_key IS NOT NULL")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("uid").alias("keeper")))
-    equal = materialize(linked.groupBy("set_key").agg(F.min("uid").alias("uid"), first_row.alias("first_row")))
+    equal = written(linked.groupBy("set_key").agg(F.min("uid").alias("uid"), first_row.alias("first_row")))
     reps = materialize(linked.join(equal.select("uid"), "uid", "left_semi").select("uid", "n", "group_key", "skip", "tokens"))
 
     # groups of identical prefix and size
-    groups = materialize(reps.where("group_key IS NOT NULL").groupBy("group_key").agg(F.min("uid").alias("gid")))
-    members = materialize(reps.select("uid", "group_key").join(groups, "group_key").select("uid", "gid"))
+    groups = written(reps.where("group_key IS NOT NULL").groupBy("group_key").agg(F.min("uid").alias("gid")))
+    members = written(reps.select("uid", "group_key").join(groups, "group_key").select("uid", "gid"))
     length = F.expr(f"int(n - (({percent} * n + 99) div 100) + 1 - skip)")
     heads = reps.join(groups.select(F.col("gid").alias("uid")), "uid", "left_semi")
-    prefix = materialize(heads.select(F.col("uid").alias("gid"), "n", "skip", F.posexplode(F.slice("tokens", F.col("skip") + 1, length)).alias("i", "token")).select("token", "gid", "n", (F.col("skip") + F.col("i")).alias("pos")))
+    prefix = written(heads.select(F.col("uid").alias("gid"), "n", "skip", F.posexplode(F.slice("tokens", F.col("skip") + 1, length)).alias("i", "token")).select("token", "gid", "n", (F.col("skip") + F.col("i")).alias("pos")))
 
     # linear: each group with the one it shares most prefix tokens with, members with their group's first
-    leaders = materialize(prefix.groupBy("token").agg(F.min("gid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("token", "lead"))
+    leaders = written(prefix.groupBy("token").agg(F.min("gid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("token", "lead"))
     shared = prefix.join(leaders, "token").where("gid <> lead").groupBy("gid", "lead").agg(F.count("*").alias("m"))
     nearest = shared.groupBy("gid").agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("b")).withColumnRenamed("gid", "a")
     within = members.where("uid <> gid").select(F.col("uid").alias("a"), F.col("gid").alias("b"))
-    first = materialize(_overlaps(within.union(nearest), reps))
+    first = written(_overlaps(within.union(nearest), reps))
     apart = F.lit(1.0) - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     far = first.select(F.col("a").alias("uid"), F.col("b").alias("gid"), apart.alias("far"))
     comps = members.join(far, ["uid", "gid"], "left").select("uid", "gid", F.coalesce("far", F.lit(0.0)).alias("far"), F.col("uid").alias("comp"))
-    comps = materialize(_renamed(comps, _links(first, percent)))
+    comps = written(_renamed(comps, _links(first, percent)))
 
     # the rest, exactly: pairs that share a token and belong to different components
     held = comps.select("gid", "comp").distinct()
-    rows = materialize(prefix.join(held, "gid").select("token", "gid", "comp", "n", "pos"))
+    rows = written(prefix.join(held, "gid").select("token", "gid", "comp", "n", "pos"))
     # a smaller set needs only the first n - ceil(2t/(1+t) n) + 1 of its tokens to meet a larger one
     brief = F.col("pos") <= F.expr(f"n - (({2 * percent} * n + {99 + percent}) div {100 + percent})")
     per_token = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(brief.cast("long")).alias("m_brief"))
-    mixed = materialize(per_token.where("lo < hi AND m_brief > 0").select("token", "m"))
+    mixed = written(per_token.where("lo < hi AND m_brief > 0").select("token", "m"))
 
     few = rows.join(mixed.where(F.col("m") <= HOT), "token", "left_semi")
     x = few.where(brief).select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "comp", "n", "pos")])
@@ -258,9 +258,9 @@ def _all_components(blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
     most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1)
     smaller = F.struct("n_x", "gid_x", "comp_x") < F.struct("n_y", "gid_y", "comp_y")
     fits = smaller & (F.col("comp_x") != F.col("comp_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
-    pairs = materialize(x.join(y, "token").where(fits).select("gid_x", "comp_x", "gid_y", "comp_y").distinct())
+    pairs = written(x.join(y, "token").where(fits).select("gid_x", "comp_x", "gid_y", "comp_y").distinct())
     # the groups' first members; members of one group are known to share its prefix, so their distance to it is all that is missing
-    met = materialize(_overlaps(pairs.select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct(), reps).withColumn("apart", apart))
+    met = written(_overlaps(pairs.select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct(), reps).withColumn("apart", apart))
     joined = components(_between(_links(met, percent), comps))
     open_pairs = pairs.join(met.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"), "apart"), ["gid_x", "gid_y"])
     for s in "xy":
@@ -275,9 +275,9 @@ def _all_components(blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
     final = _renamed(comps.select("uid", "comp"), _between(second, comps))
 
     # back from representatives to all rows
-    named = materialize(equal.join(final, "uid", "left").select("set_key", "first_row", F.coalesce("comp", "uid").alias("c")))
+    named = written(equal.join(final, "uid", "left").select("set_key", "first_row", F.coalesce("comp", "uid").alias("c")))
     least = named.groupBy("c").agg(F.min("first_row").alias("least"))
-    of_set = materialize(named.join(materialize(least), "c").select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.keeper").alias("keeper")))
+    of_set = written(named.join(written(least), "c").select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.keeper").alias("keeper")))
     out = ("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "keeper")
     alone = sets.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("keeper", F.col("uid")).select(*out)
     return linked.join(of_set, "set_key").select(*out).unionByName(alone)
