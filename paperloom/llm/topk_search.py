@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm._blocks import dump_arrays, load_arrays
-from paperloom.llm._session import materialize
+from paperloom.llm._session import materialize, written
 
 SCALE = 256
 K = 5
@@ -155,7 +155,7 @@ _PACKED = "dim int, longest double, payload binary, data binary"
 
 def _attached(pairs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     """``pairs`` (q, g) with the columns of ``rows``, one for each ``key``; a key of many pairs is dealt over copies of its row."""
-    copies = materialize(pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies")))
+    copies = written(pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies")))
     dealt = pairs.join(copies, key).withColumn("copy", F.pmod(F.xxhash64("q", "g"), "copies").cast("int")).drop("copies")
     copied = rows.join(copies, key).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     return dealt.join(copied, [key, "copy"]).drop("copy")
@@ -227,12 +227,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     # a stated query set against all rows, in blocks: first with the longest vectors of its dimension
     head = groups.groupBy("dim").agg(F.max_by("g", F.struct("longest", -F.col("g"))).alias("g"))
-    begun = materialize(blocks.select("q", "dim").join(head, "dim").select("q", "g"))
+    begun = written(blocks.select("q", "dim").join(head, "dim").select("q", "g"))
     searched = "q long, need double, known binary, found binary"
     first = materialize(_work(begun, blocks, groups).mapInArrow(_searched(k), searched))
     # then with all others that can still matter
     bounded = blocks.drop("known").join(first.select("q", "need", "known"), "q")
-    open_pairs = materialize(_pairs(bounded.select("q", "dim", "need"), groups.select("g", "dim", "longest")).join(begun, ["q", "g"], "left_anti"))
+    open_pairs = written(_pairs(bounded.select("q", "dim", "need"), groups.select("g", "dim", "longest")).join(begun, ["q", "g"], "left_anti"))
     second = _work(open_pairs, bounded, groups).mapInArrow(_searched(k), searched)
     part = first.select("found").unionByName(second.select("found")).mapInArrow(_unpacked, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
