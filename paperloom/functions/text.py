@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -48,8 +49,12 @@ def escape_tilde(c: Column) -> Column:
     return F.replace(c, F.lit("~"), F.lit("\\~"))
 
 
+#: A document type with its inner declarations.
+DOCTYPE = r"(?i)<!DOCTYPE\s[^\[>]*(\[[\s\S]*?\])?\s*>"
+
+
 def strip_doctype(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)<!DOCTYPE\s[^\[>]*(\[[\s\S]*?\])?\s*>", "")
+    return F.regexp_replace(c, DOCTYPE, "")
 
 
 def safe_href(c: Column) -> Column:
@@ -57,9 +62,12 @@ def safe_href(c: Column) -> Column:
     return F.when(x.rlike(r"^(?i)(?:https?:|mailto:|tel:|#)"), x)
 
 
+#: A path that leaves its folder: a NUL, a step up, an absolute path or a drive.
+TRAVERSAL = r"\x00|(^|[\\/])\.\.([\\/]|$)|^[\\/]|^[A-Za-z]:"
+
+
 def is_path_traversal(c: Column) -> Column:
-    x = F.replace(c, F.lit("\\"), F.lit("/"))
-    return F.contains(c, F.lit("\x00")) | F.array_contains(F.split(x, "/"), "..") | x.startswith("/") | x.rlike(r"^[A-Za-z]:")
+    return c.rlike(TRAVERSAL)
 
 
 #: Message parts that decide the error code, in this order.
@@ -87,16 +95,24 @@ def error_code(message: Column) -> Column:
     return out.otherwise("PARSE_ERROR")
 
 
-def cell_column(ref: Column) -> Column:
-    """The column of an A1 reference from 0; null if it is none."""
-    letters = F.regexp_extract(ref, r"^([A-Z]+)\d+$", 1)
-    value = F.aggregate(F.filter(F.split(letters, ""), lambda x: x != ""), F.lit(0), lambda a, x: a * 26 + F.ascii(x) - 64)
-    return F.when(letters != "", value - 1)
+def a1(ref: str | None) -> tuple[int, int] | None:
+    """Row and column of a reference such as AB12, from 0; None if it is none."""
+    m = re.fullmatch(r"([A-Z]+)(\d+)", ref or "")
+    if not m:
+        return None
+    col = 0
+    for ch in m[1]:
+        col = col * 26 + ord(ch) - 64
+    return int(m[2]) - 1, col - 1
 
 
-def cell_row(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, r"^[A-Z]+(\d+)$", 1)
-    return F.when(digits != "", digits.cast("int") - 1)
+def cell_place(ref: Column) -> Column:
+    """The same as a struct (r, c)."""
+    return F.pandas_udf(_places, "r int, c int")(ref)
+
+
+def _places(refs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([a1(x) or (None, None) for x in refs], columns=["r", "c"]).astype("Int32")
 
 
 def clean_numeric(c: Column) -> Column:
@@ -117,6 +133,12 @@ def _is_number(v: str) -> bool:
     return True
 
 
+def page_list(pages: Column, max_pages: Column) -> Column:
+    """The pages of a list of numbers, rounded half to even, sorted."""
+    whole = F.transform(pages, lambda x: F.bround(x.cast("double"), 0).cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.between(F.lit(1), max_pages))))
+
+
 def page_set(spec: Column, max_pages: Column) -> Column:
     """The pages that a range such as ``1,3,5-7`` selects, sorted; parts that are none are ignored."""
     parts = F.transform(F.split(spec, ","), strip)

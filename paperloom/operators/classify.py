@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import strip
-from paperloom.operators.grid import modal_value
+from paperloom.sources.rows import nested_mark
 
 #: The least ratio of a font size to the base size at each level.
 RATIOS = ((1, 1.5), (2, 1.3), (3, 1.15))
@@ -24,12 +25,14 @@ def heading_level(text: Column, size: Column, base: Column) -> Column:
     return F.when((t != "") & (F.length(t) <= 200) & ~t.rlike(r"(?U)^\d+$"), level)
 
 
-def detect_headings(blocks: DataFrame, key: str) -> DataFrame:
-    """Paragraphs (key, ord, type, text, level, font_size) become headings by size against the document's most common one."""
-    base = modal_value(blocks.where("font_size > 0"), [key], "font_size", "ord").withColumnRenamed("font_size", "_base")
-    x = blocks.join(base, key, "left")
-    level = F.when(F.col("type") == "paragraph", heading_level(F.coalesce("text", F.lit("")), F.col("font_size"), F.coalesce("_base", F.lit(0.0))))
-    return x.withColumn("level", F.coalesce(level, F.col("level"))).withColumn("type", F.when(level.isNotNull(), "heading").otherwise(F.col("type"))).drop("_base")
+def with_common_size(blocks: DataFrame, key: str, name: str) -> DataFrame:
+    """Blocks (section, ord, font_size) with their document's most common size as ``name``, of equally common ones the first; by windows, so the blocks are read once."""
+    place = F.col("section").cast("long") * (1 << 40) + F.col("ord")
+    alike, whole = Window.partitionBy(key, "_size"), Window.partitionBy(key)
+    x = blocks.withColumn("_size", F.when(F.col("font_size") > 0, F.col("font_size"))).withColumn("_at", place)
+    x = x.withColumn("_n", F.count("*").over(alike)).withColumn("_first", F.min("_at").over(alike))
+    common = F.max(F.when(F.col("_size").isNotNull(), F.struct("_n", (-F.col("_first")).alias("_first"), "_size"))).over(whole)
+    return x.withColumn(name, common["_size"]).drop("_size", "_at", "_n", "_first")
 
 
 def styled_level(text: Column, size: Column, base: Column) -> Column:
@@ -45,17 +48,8 @@ def styled_level(text: Column, size: Column, base: Column) -> Column:
 
 
 def with_headings(blocks: DataFrame, bases: DataFrame, key: str) -> DataFrame:
-    """Blocks of all formats (with file_type, section) after their format's rule; ``bases`` (key, base) are sizes of named styles.
-
-    The most common size of a document comes from windows, so the blocks are read once.
-    """
-    place = F.col("section").cast("long") * (1 << 40) + F.col("ord")
-    size = F.when(F.col("font_size") > 0, F.col("font_size"))
-    alike, whole = Window.partitionBy(key, "_size"), Window.partitionBy(key)
-    x = blocks.withColumn("_size", size).withColumn("_at", place)
-    x = x.withColumn("_n", F.count("*").over(alike)).withColumn("_first", F.min("_at").over(alike))
-    common = F.max(F.when(F.col("_size").isNotNull(), F.struct("_n", (-F.col("_first")).alias("_first"), "_size"))).over(whole)
-    x = x.withColumn("_common", common["_size"]).join(bases, key, "left")
+    """Blocks of all formats (with file_type, section) after their format's rule; ``bases`` (key, base) are sizes of named styles."""
+    x = with_common_size(blocks, key, "_common").join(bases, key, "left")
     text = F.coalesce("text", F.lit(""))
     ratio = heading_level(text, F.col("font_size"), F.coalesce("_common", F.lit(0.0)))
     styled = styled_level(text, F.col("font_size"), F.coalesce("base", "_common"))
@@ -68,19 +62,16 @@ def outline(blocks: DataFrame) -> DataFrame:
     return blocks.where("type = 'heading'")
 
 
-def list_kind(numbering: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """paragraphs (num_id, ilvl) with list_type by their numbering's format; one without a format is ordered."""
-    x = paragraphs.join(numbering, ["num_id", "ilvl"], "left")
+def list_kind(formats: DataFrame, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Paragraphs with list_type by their numbering's format (keys, fmt); one without a format is ordered."""
+    x = paragraphs.join(formats, keys, "left")
     return x.withColumn("list_type", F.when(F.col("fmt") == "bullet", "unordered").otherwise("ordered")).drop("fmt")
 
 
-def numbered(items: DataFrame, key: str, name: str) -> DataFrame:
-    """Items with their running number in the document as ``name``."""
-    return items.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy("ord")))
-
-
 def nested_marker(number: Column, hint: Column) -> Column:
     """The text that stands for a table inside of a cell."""
-    short = F.when(F.length(hint) > 60, F.concat(F.substring(hint, 1, 60), F.lit("…"))).otherwise(hint)
-    tail = F.when(F.coalesce(hint, F.lit("")) != "", F.concat(F.lit(": "), short)).otherwise("")
-    return F.concat(F.lit("[중첩 테이블 #"), number.cast("string"), tail, F.lit("]"))
+    return F.pandas_udf(_marks, "string")(number, hint)
+
+
+def _marks(numbers: pd.Series, hints: pd.Series) -> pd.Series:
+    return pd.Series([nested_mark(int(n), h or "") for n, h in zip(numbers, hints, strict=True)])

@@ -52,6 +52,25 @@ def place_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     return flat.unionByName(marked.where("_most > 1").drop("_most").groupBy(*keys).applyInPandas(scan, schema)).where(F.col("c") < MAX_COLS)
 
 
+def place_directly(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, r, c, text, col_span, row_span of cells that say where they stand (i, n_rows, r, c, text, spans).
+
+    Cells are written in the order of ``i``, each over all of its range: of two that meet the later one stays.  What
+    lies below a cell that is still there is no cell; what a lost cell covered is empty.
+    """
+    width = F.least(F.max(F.col("c") + F.col("col_span")).over(Window.partitionBy(*keys)), F.lit(MAX_COLS))
+    x = cells.withColumn("_width", width).where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("n_rows")) & (F.col("c") < F.col("_width")))
+    down = x.withColumn("_r", F.explode(F.sequence("r", F.least(F.col("r") + F.col("row_span"), F.col("n_rows")) - 1)))
+    at = down.withColumn("_c", F.explode(F.sequence("c", F.least(F.col("c") + F.col("col_span"), F.col("_width")) - 1)))
+    at = at.withColumn("_anchor", (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")))
+    place, cell = Window.partitionBy(*keys, "_r", "_c"), Window.partitionBy(*keys, "i")
+    at = at.withColumn("_wins", F.col("i") == F.max("i").over(place))
+    at = at.withColumn("_stays", F.max(F.col("_anchor") & F.col("_wins")).over(cell))
+    at = at.withColumn("_covered", F.max(~F.col("_anchor") & F.col("_stays")).over(place)).where("_wins AND NOT _covered")
+    value = lambda c, other: F.when(F.col("_anchor"), F.col(c)).otherwise(other).alias(c)
+    return at.select(*keys, F.col("_r").cast("int").alias("r"), F.col("_c").cast("int").alias("c"), value("text", ""), value("col_span", 1), value("row_span", 1))
+
+
 def footprints(merges: DataFrame, keys: list[str]) -> DataFrame:
     """Every cell of each merged range (r1, c1, r2, c2), and whether it is the range's anchor."""
     rows = merges.select(*keys, "r1", "c1", "r2", "c2", F.explode(F.sequence("r1", "r2")).alias("r"))
@@ -82,13 +101,8 @@ def vertical_runs(cells: DataFrame, keys: list[str], continues: Column) -> DataF
     return sized.where("NOT _c").drop("_c", "_run")
 
 
-def modal_value(values: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of each group; of equal ones that which comes first."""
-    counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    return counted.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(value))
-
-
 def dominant_value(values: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of each group; of equal ones that which reaches the count first."""
+    """The most frequent value of each group; of equal ones that which reaches the count first, then the smaller one."""
     counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), F.max(order).alias("_last"))
-    return counted.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_last"))).alias(value))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_last").alias("at"), F.col(value).alias("v")))
+    return counted.groupBy(*keys).agg(best.alias("_best")).select(*keys, F.col("_best.v").alias(value))

@@ -32,9 +32,11 @@ def carry_first_column(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gfm_tables(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, markdown of grids without merged cells."""
-    cells = grid.select(*keys, "r", "c", gfm_cell(F.col("text")).alias("d"))
-    rows = cells.groupBy(*keys, "r").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]).alias("cells"))
+    """keys, markdown of grids as they are, without regard to merged cells; places without a cell are blank."""
+    width = F.max(F.col("c") + 1).over(Window.partitionBy(*keys))
+    cells = grid.select(*keys, "r", "c", gfm_cell(F.col("text")).alias("d"), (F.col("_cols") if "_cols" in grid.columns else width).alias("_w"))
+    rows = cells.groupBy(*keys, "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "d"))).alias("_at"), F.first("_w").alias("_w"))
+    rows = rows.select(*keys, "r", F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda c: F.coalesce(F.try_element_at("_at", c), F.lit(""))).alias("cells"))
     kept = carry_first_column(rows, keys)
     line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda _: F.lit("---")), " | "), F.lit(" |"))
@@ -44,18 +46,35 @@ def gfm_tables(grid: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def html_tables(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, markdown of grids with merged cells: one HTML table each; covered cells must be gone already."""
-    tag = F.when(F.col("r") == 0, "th").otherwise("td")
+    """keys, markdown of grids with merged cells: one HTML table each; covered cells must be gone already, places without a cell are empty ones."""
+    whole = Window.partitionBy(*keys)
+    x = grid.withColumn("_rows", F.max("r").over(whole) + 1).withColumn("_cols", F.max(F.col("c") + F.col("col_span")).over(whole))
+    x = x.withColumn("_nth", F.row_number().over(whole.orderBy("r", "c")))
+    name = F.when(F.col("r") == 0, "th").otherwise("td")
     spans = F.concat(
         F.when(F.col("col_span") > 1, F.concat(F.lit(' colspan="'), F.col("col_span"), F.lit('"'))).otherwise(""),
         F.when(F.col("row_span") > 1, F.concat(F.lit(' rowspan="'), F.col("row_span"), F.lit('"'))).otherwise(""),
     )
     body = F.replace(sanitize_text(F.col("text")), F.lit("\n"), F.lit("<br>"))
-    cells = grid.select(*keys, "r", "c", F.concat(F.lit("<"), tag, spans, F.lit(">"), body, F.lit("</"), tag, F.lit(">")).alias("cell"))
-    rows = cells.groupBy(*keys, "r").agg(F.concat(F.lit("<tr>"), _joined(["c"], "cell", ""), F.lit("</tr>")).alias("row"))
+    none = F.lit(None).cast("string").alias("cell")
+    cells = x.select(*keys, "r", "c", F.concat(F.lit("<"), name, spans, F.lit(">"), body, F.lit("</"), name, F.lit(">")).alias("cell"), "_cols")
+    # what each merged cell covers, and every row of the table once, from its first cell
+    below = x.where((F.col("col_span") > 1) | (F.col("row_span") > 1)).select(*keys, F.explode(F.sequence("r", F.least(F.col("r") + F.col("row_span"), F.col("_rows")) - 1)).alias("r"), "c", "col_span", "_cols")
+    below = below.select(*keys, "r", F.explode(F.sequence("c", F.col("c") + F.col("col_span") - 1)).alias("c"), none, "_cols")
+    each = x.where("_nth = 1").select(*keys, F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("r"), F.lit(None).cast("int").alias("c"), none, "_cols")
+    rows = cells.unionByName(below).unionByName(each).groupBy(*keys, "r").agg(F.collect_list(F.struct("c", "cell")).alias("_at"), F.first("_cols").alias("_cols"))
+    free = F.array_except(F.sequence(F.lit(0), F.col("_cols") - 1), F.transform("_at", lambda p: p["c"]))
+    blank = F.concat(F.lit("<"), name, F.lit("></"), name, F.lit(">"))
+    full = F.concat(F.filter("_at", lambda p: p["cell"].isNotNull()), F.transform(free, lambda c: F.struct(c.alias("c"), blank.alias("cell"))))
+    rows = rows.select(*keys, "r", F.array_join(F.transform(F.array_sort(full), lambda p: p["cell"]), "").alias("row")).where("row <> ''")
+    rows = rows.withColumn("row", F.concat(F.lit("<tr>"), "row", F.lit("</tr>")))
     return rows.groupBy(*keys).agg(F.concat(F.lit("<table>\n"), _joined(["r"], "row", "\n"), F.lit("\n</table>")).alias("markdown"))
 
 
+#: Fixed value: what counts as a formula in a line of text.
+INLINE_MATH = r"(^|[^\\])\$(?=\S)(?:\\.|[^$\n])+?\S\$"
+
+
 def single_cell(text: Column) -> Column:
     """A 1x1 table as structured text."""
     lines = F.filter(F.transform(F.split(sanitize_text(text), "\n"), strip), lambda x: x != "")
@@ -64,13 +83,14 @@ def single_cell(text: Column) -> Column:
 
 
 def table_markdown(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, markdown of grids (r, c, text, col_span, row_span) by their form."""
+    """keys, markdown of grids (r, c, text, col_span, row_span) by their form; merged cells make HTML unless there is a formula in the table."""
     whole = Window.partitionBy(*keys)
     x = grid.withColumn("_rows", F.max("r").over(whole) + 1).withColumn("_cols", F.max(F.col("c") + F.col("col_span")).over(whole))
     x = x.withColumn("_merged", F.max(((F.col("col_span") > 1) | (F.col("row_span") > 1)).cast("int")).over(whole) == 1)
+    x = x.withColumn("_merged", F.col("_merged") & ~F.max(F.col("text").rlike(INLINE_MATH)).over(whole))
     one = (F.col("_rows") == 1) & (F.col("_cols") == 1)
-    drop = ["_rows", "_cols", "_merged"]
-    html = html_tables(x.where("_merged").drop(*drop), keys)
+    drop = ["_rows", "_merged"]
+    html = html_tables(x.where("_merged").drop(*drop, "_cols"), keys)
     single = x.where(~F.col("_merged") & one).select(*keys, single_cell(F.col("text")).alias("markdown"))
     column = x.where(~F.col("_merged") & ~one & (F.col("_cols") == 1) & (F.col("text") != ""))
     column = column.select(*keys, "r", F.replace(escape_tilde(sanitize_text(F.col("text"))), F.lit("\n"), F.lit(" ")).alias("line")).groupBy(*keys).agg(_joined(["r"], "line", "\n").alias("markdown"))
