@@ -6,9 +6,10 @@ import struct
 from collections.abc import Iterator
 
 from paperloom.sources.cfb import BadCompoundFile, streams
-from paperloom.sources.rows import Row, Unreadable, row
+from paperloom.sources.rows import Row, Unreadable, row, truncated
 
-MAX_RECORDS, MAX_SHEETS, MAX_ROWS, MAX_COLS = 1_000_000, 100, 10_000, 200
+MAX_RECORDS, MAX_SHEETS, MAX_ROWS, MAX_COLS = 1_000_000, 100, 100_000, 200
+SHOWN_ROWS = 10_000  # of a sheet, from its first row that has text
 BOF, EOF, CONTINUE, BOUNDSHEET, SST, FILEPASS = 0x809, 0x0A, 0x3C, 0x85, 0xFC, 0x2F
 NUMBER, RK, MULRK, LABELSST, LABEL, FORMULA, STRING, BOOLERR, MERGECELLS = 0x203, 0x27E, 0xBD, 0xFD, 0x204, 0x06, 0x207, 0x205, 0xE5
 GLOBALS, WORKSHEET = 0x05, 0x10
@@ -157,35 +158,40 @@ def _cells(records: list[Record], begin: int, section: int) -> Iterator[Row]:
             # a range reaches as far as its last cell, which need not be written
             found.setdefault((r2, c2), ("str", ""))
             yield row("merge", section, r1=r1, c1=c1, r2=r2, c2=c2)
+    filled = [r for (r, c), (_, text) in found.items() if text and r < MAX_ROWS and c < MAX_COLS]
+    end = min(filled, default=0) + SHOWN_ROWS
+    beyond = sum(r >= end or c >= MAX_COLS for r, c in found)
     for (r, c), (kind, text) in found.items():
-        if r < MAX_ROWS and c < MAX_COLS:
+        if r < min(end, MAX_ROWS) and c < MAX_COLS:
             yield row("cell", section, r=r, c=c, text=text, type=kind)
+    if beyond:
+        yield truncated(section, beyond)
 
 
 def xls(content: bytes) -> Iterator[Row]:
     try:
         files = streams(content)
     except BadCompoundFile as e:
-        raise Unreadable(f"XLS: OLE2 시그니처 검증 실패 — {e}") from e
+        raise Unreadable(f"XLS 컨테이너의 시그니처가 다릅니다: {e}") from e
     book = files.get("Workbook") or files.get("Book")
     if not book:
-        raise Unreadable("XLS: Workbook 스트림이 없음 (BIFF5 또는 비표준 파일)")
+        raise Unreadable("통합 문서가 들어 있지 않은 XLS입니다")
     records = _records(book)
     version, kind = struct.unpack_from("<HH", records[0][2].ljust(4, b"\0")) if records else (0, 0)
     if not records:
-        raise Unreadable("XLS: 시그니처 레코드가 없음 (Workbook 스트림 손상)")
+        raise Unreadable("빈 XLS 스트림에는 시그니처가 없습니다")
     if records[0][1] != BOF:
-        raise Unreadable("XLS: 첫 레코드가 BOF가 아님")
+        raise Unreadable("XLS 스트림이 BOF로 시작하지 않습니다")
     if version != 0x600:
-        raise Unreadable(f"XLS: BIFF8(0x0600)만 지원 — 본 파일은 0x{version:04x}")
+        raise Unreadable(f"BIFF8이 아닌 XLS입니다: 0x{version:04x}")
     if kind != GLOBALS:
-        raise Unreadable("XLS: Globals 서브스트림 BOF 누락")
+        raise Unreadable("XLS의 전역 부분이 먼저 나오지 않습니다")
     end = next((i for i, (_, op, _) in enumerate(records) if op == EOF), len(records))
     head = records[:end]
     sheets = [data for _, op, data in head if op == BOUNDSHEET and len(data) >= 8]
     if any(op == FILEPASS for _, op, _ in head):
         yield row("meta", text=str(len(sheets)), name="page_count")
-        yield row("warning", text="XLS 파일이 암호화되어 있어 파싱할 수 없습니다", code="PARTIAL_PARSE")
+        yield row("warning", text="암호가 걸린 XLS라 셀을 읽지 않았습니다", code="PARTIAL_PARSE")
         return
     yield row("meta", text=str(min(len(sheets), MAX_SHEETS)), name="page_count")
     for i, text in enumerate(_shared_strings(head)):
@@ -198,12 +204,12 @@ def xls(content: bytes) -> Iterator[Row]:
             continue  # a chart or macro sheet
         begin = begins.get(struct.unpack_from("<I", data)[0], spare)
         if begin is None:
-            yield row("warning", i, text=f'시트 "{name}" BOF를 찾을 수 없음 (lbPlyPos={struct.unpack_from("<I", data)[0]})', code="PARTIAL_PARSE")
+            yield row("warning", i, text=f'시트 "{name}"의 자리가 비어 있습니다: {struct.unpack_from("<I", data)[0]}', code="PARTIAL_PARSE")
         elif records[begin][2][2:4] == struct.pack("<H", WORKSHEET):
             try:
                 cells = list(_cells(records, begin + 1, i))
             except Exception as e:
-                yield row("warning", i, text=f'시트 "{name}" 파싱 실패: {e}', code="PARTIAL_PARSE")
+                yield row("warning", i, text=f'시트 "{name}"을 끝까지 읽지 못했습니다: {e}', code="PARTIAL_PARSE")
                 continue
             yield row("sheet", i, text=name)
             yield from cells

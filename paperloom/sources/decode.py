@@ -8,6 +8,7 @@ becomes an ``error`` row, never a failed task.
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -17,9 +18,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from paperloom.functions.equation import office_math_latex
-from paperloom.sources import biff, hwp3, hwp5
+from paperloom.functions.text import a1
+from paperloom.sources import biff, hwp3, hwp5, scan
 from paperloom.sources import hwpx as hwpx_parts
-from paperloom.sources.rows import Row, Unreadable, row
+from paperloom.sources.rows import Row, Unreadable, nested_mark, row, truncated
 from paperloom.sources.scan import MAX_ENTRIES, MAX_UNZIPPED, zip_directory
 from paperloom.sources.xmltree import Node, parse
 
@@ -30,9 +32,9 @@ MAX_SHEETS, MAX_ROWS, MAX_COLS = 100, 10_000, 200
 def _open_zip(content: bytes) -> zipfile.ZipFile:
     size, entries = zip_directory(content)
     if entries > MAX_ENTRIES:
-        raise Unreadable(f"ZIP 엔트리 수 초과: {entries} (최대 {MAX_ENTRIES})")
+        raise Unreadable(f"ZIP 엔트리 수 초과, {MAX_ENTRIES}개까지: {entries}")
     if size > MAX_UNZIPPED:
-        raise Unreadable(f"ZIP 비압축 크기 초과: {size / (1 << 20):.1f}MB (최대 {MAX_UNZIPPED >> 20}MB)")
+        raise Unreadable(f"ZIP 비압축 크기 초과, {MAX_UNZIPPED >> 20} MiB까지: {size} B")
     return zipfile.ZipFile(io.BytesIO(content))
 
 
@@ -50,16 +52,6 @@ def _core(z: zipfile.ZipFile) -> Iterator[Row]:
                 yield row("meta", text=n.full_text().strip(), name=names[n.tag])
 
 
-def _a1(ref: str) -> tuple[int, int] | None:
-    m = re.fullmatch(r"([A-Z]+)(\d+)", ref)
-    if not m:
-        return None
-    col = 0
-    for ch in m[1]:
-        col = col * 26 + ord(ch) - 64
-    return int(m[2]) - 1, col - 1
-
-
 def xlsx(content: bytes) -> Iterator[Row]:
     with _open_zip(content) as z:
         names = set(z.namelist())
@@ -68,7 +60,7 @@ def xlsx(content: bytes) -> Iterator[Row]:
                 yield row("string", ord=i, text="".join(t.full_text() for t in si.walk() if t.tag == "t"))
         sheets = [n for n in parse(z.read("xl/workbook.xml")).walk() if n.tag == "sheet"]
         if not sheets:
-            raise Unreadable("XLSX 파일에 시트가 없습니다")
+            raise Unreadable("시트가 하나도 들어 있지 않습니다")
         rels = _relations(z, "xl/_rels/workbook.xml.rels")
         yield row("meta", text=str(min(len(sheets), MAX_SHEETS)), name="page_count")
         yield from _core(z)
@@ -78,30 +70,35 @@ def xlsx(content: bytes) -> Iterator[Row]:
             part = target[1:] if target.startswith("/") else target if target.startswith("xl/") else f"xl/{target}"
             yield row("sheet", i, text=name)
             if part not in names:
-                yield row("warning", i, text=f'시트 "{name}" 파일을 찾을 수 없습니다: {part}', code="PARTIAL_PARSE")
+                yield row("warning", i, text=f'시트 "{name}"의 {part} 부분이 빠져 있습니다', code="PARTIAL_PARSE")
                 continue
             try:
                 yield from list(_worksheet(parse(z.read(part)), i))
             except Exception as e:
-                yield row("warning", i, text=f'시트 "{name}" 파싱 실패: {e}', code="PARTIAL_PARSE")
+                yield row("warning", i, text=f'시트 "{name}"을 끝까지 읽지 못했습니다: {e}', code="PARTIAL_PARSE")
 
 
 def _worksheet(root: Node, section: int) -> Iterator[Row]:
+    beyond = 0
     for line in (n for n in root.walk() if n.tag == "row"):
         try:
             r = int(line.attrs.get("r", "")) - 1
         except ValueError:
             continue
-        for cell in line.all("c") if 0 <= r < MAX_ROWS else ():
-            at = _a1(cell.attrs.get("r", ""))
-            if at is None or at[1] >= MAX_COLS:
+        for cell in line.all("c") if r >= 0 else ():
+            at = a1(cell.attrs.get("r", ""))
+            if r >= MAX_ROWS or (at and at[1] >= MAX_COLS):
+                beyond += 1
+            if r >= MAX_ROWS or at is None or at[1] >= MAX_COLS:
                 continue
             v, f, inline = cell.find("v"), cell.find("f"), cell.find("is")
             kind = cell.attrs.get("t", "n")
             text = "".join(t.full_text() for t in inline.walk() if t.tag == "t") if kind == "inlineStr" and inline else v.full_text() if v else None
             yield row("cell", section, r=r, c=at[1], text=text, type=kind, formula=f.full_text() if f else None)
+    if beyond:
+        yield truncated(section, beyond)
     for m in (n for n in root.walk() if n.tag == "mergeCell"):
-        ends = [_a1(x) for x in m.attrs.get("ref", "").split(":")]
+        ends = [a1(x) for x in m.attrs.get("ref", "").split(":")]
         if len(ends) == 2 and all(ends):
             (r1, c1), (r2, c2) = ends
             yield row("merge", section, r1=r1, c1=c1, r2=r2, c2=c2)
@@ -116,6 +113,9 @@ def docx(content: bytes) -> Iterator[Row]:
         if "word/styles.xml" in names:
             for s in (n for n in parse(z.read("word/styles.xml")).walk() if n.tag == "style"):
                 level = next((n.attrs.get("val") for n in s.walk() if n.tag == "outlineLvl"), None)
+                name = next((n.attrs.get("val", "") for n in s.kids if n.tag == "name"), "")
+                if level is None and (named := re.fullmatch(r"heading\s*(\d+)", name, re.IGNORECASE)):
+                    level = str(int(named[1]) - 1)
                 yield row("style", id=s.attrs.get("styleId"), outline=level)
         if "word/numbering.xml" in names:
             root = parse(z.read("word/numbering.xml"))
@@ -189,7 +189,7 @@ MAX_HWPML = 50 << 20
 
 def hwpml(content: bytes) -> Iterator[Row]:
     if len(content) > MAX_HWPML:
-        raise Unreadable("HWPML 크기 초과")
+        raise Unreadable(f"HWPML 크기 초과: {len(content)} B")
     root = parse(content.decode("utf-8", "replace").lstrip("﻿").replace("&nbsp;", "&#160;"))
     summary = next((n for n in root.walk() if n.tag == "DOCSUMMARY"), None)
     for n in summary.kids if summary else ():
@@ -199,14 +199,14 @@ def hwpml(content: bytes) -> Iterator[Row]:
         if n.tag == "PARASHAPE" and n.attrs.get("HeadingType") == "Outline":
             level = n.attrs.get("Level", "0")
             yield row("style", id=n.attrs.get("Id"), outline=level if re.fullmatch(r"-?\d+", level) else "0")
-    count = 0
+    count, tables = 0, itertools.count(1)
     for s, section in enumerate(n for n in root.walk() if n.tag == "SECTION"):
         for p in _hwpml_content(section, 0):
             if p.tag == "P":
                 text = "".join(n.full_text() for n in p.walk() if n.tag == "CHAR")
                 yield row("paragraph", s, count, text=text, style=p.attrs.get("ParaShape"))
             else:
-                yield from _hwpml_table(p, s, count)
+                yield from _hwpml_table(p, s, count, tables)
             count += 1
 
 
@@ -234,15 +234,35 @@ def _without(node: Node, tag: str) -> Node:
     return out
 
 
-def _hwpml_table(t: Node, section: int, at: int) -> Iterator[Row]:
+def _hwpml_rows(t: Node) -> Iterator[Node]:
+    """The rows of a table, without those of tables in it."""
+    for k in t.kids:
+        if k.tag == "ROW":
+            yield k
+        elif k.tag != "TABLE":
+            yield from _hwpml_rows(k)
+
+
+def _hwpml_lines(cell: Node, tables: Iterator[int]) -> Iterator[str]:
+    """The paragraphs of a cell; a table in one leaves a mark."""
+    for p in _hwpml_content(cell, 0):
+        if p.tag == "P":
+            yield "".join(x.full_text() for x in p.walk() if x.tag == "CHAR")
+        else:
+            yield nested_mark(next(tables))
+
+
+def _hwpml_table(t: Node, section: int, at: int, tables: Iterator[int]) -> Iterator[Row]:
     whole = lambda n, k: int(v) if (v := n.attrs.get(k, "")).isdigit() else 0
     if whole(t, "RowCount") > 5000 or whole(t, "ColCount") > 500:
-        yield row("warning", section, text="테이블 크기 초과", code="TRUNCATED_TABLE")
+        yield row("warning", section, text="한도보다 큰 표를 생략했습니다", code="TRUNCATED_TABLE")
         return
-    for r, line in enumerate(n for n in t.walk() if n.tag == "ROW"):
+    lines = list(_hwpml_rows(t))
+    nth = itertools.count()
+    for r, line in enumerate(lines):
         for c, cell in enumerate(line.all("CELL")):
-            text = "\n".join("".join(x.full_text() for x in p.walk() if x.tag == "CHAR") for p in cell.walk() if p.tag == "P")
-            yield row("cell", section, at, whole(cell, "RowAddr") if "RowAddr" in cell.attrs else r, whole(cell, "ColAddr") if "ColAddr" in cell.attrs else c, text, span=max(1, whole(cell, "ColSpan")), rows=max(1, whole(cell, "RowSpan")), placed=1)
+            text = "\n".join(_hwpml_lines(cell, tables))
+            yield row("cell", section, at, whole(cell, "RowAddr") if "RowAddr" in cell.attrs else r, whole(cell, "ColAddr") if "ColAddr" in cell.attrs else c, text, span=max(1, whole(cell, "ColSpan")), rows=max(1, whole(cell, "RowSpan")), placed=1, i=next(nth), lines=len(lines))
 
 
 def hwpx(content: bytes) -> Iterator[Row]:
@@ -267,10 +287,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, file_type, content in zip(batch["doc_id"].to_pylist(), batch["file_type"].to_pylist(), batch["content"], strict=True):
             raw = content.as_py() or b""
             try:
-                if not raw:
-                    rows = [row("error", text="입력 데이터가 비어 있습니다", code="EMPTY_INPUT")]
+                if file_type == scan.OVERSIZED:
+                    rows = [row("error", text=f"파일이 {scan.MAX_FILE >> 20}MB보다 큽니다", code="FILE_TOO_LARGE")]
+                elif not raw:
+                    rows = [row("error", text="빈 입력입니다", code="EMPTY_INPUT")]
                 elif file_type not in DECODERS:
-                    rows = [row("error", text=f"지원하지 않는 포맷: {file_type}", code="UNSUPPORTED_FORMAT")]
+                    rows = [row("error", text=f"읽을 줄 모르는 포맷입니다: {file_type}", code="UNSUPPORTED_FORMAT")]
                 else:
                     rows = list(DECODERS[file_type](raw))
             except Exception as e:

@@ -158,11 +158,11 @@ def hwp3(content: bytes) -> Iterator[Row]:
         try:
             raw = unzip.decompress(raw, MAX_BODY)
         except zlib.error as e:
-            raise Unreadable(f"HWP3 압축 해제 실패: {e}") from e
+            raise Unreadable(f"HWP3 본문의 압축 해제가 멈췄습니다: {e}") from e
         if not unzip.eof and not unzip.unconsumed_tail:
-            raise Unreadable("HWP3 압축 해제 실패: 잘린 데이터")
+            raise Unreadable("HWP3 본문의 압축 해제가 중간에 끝났습니다")
         if unzip.unconsumed_tail:
-            raise Unreadable("HWP3 압축 해제 크기 초과")
+            raise Unreadable("HWP3 본문의 압축 해제 한도를 넘었습니다")
     body = _Body(raw)
     body.read()
     for i, text in enumerate(body.texts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from paperloom.functions.equation import script_latex
 from paperloom.sources import aes
 from paperloom.sources.cfb import BadCompoundFile, streams
-from paperloom.sources.rows import Row, Unreadable, row
+from paperloom.sources.rows import Row, Unreadable, nested_mark, row
 
 MAX_SECTIONS, MAX_INFLATED, MAX_RECORDS = 100, 100 << 20, 500_000
 MAX_ROWS, MAX_COLS = 10_000, 200
@@ -19,6 +20,7 @@ PARAGRAPH, TEXT, CHARS, CONTROL, LIST, TABLE, PICTURE, EQUATION = 0x42, 0x43, 0x
 COMPRESSED, ENCRYPTED, DISTRIBUTION, DRM = 1, 2, 4, 16
 PICTURE_ITEM = 71  # where a picture record names its binary item
 LINKS = ("%hlk", "%tok", "klnk")
+NOTES, BOX, OBJECT = ("fn  ", "en  "), "gso ", "ole "
 #: Room behind a table for the paragraphs that a layout table becomes.
 STEP = 1 << 20
 
@@ -33,7 +35,7 @@ class Record:
     def control(self) -> str:
         """The four letters of a control in reading order; some writers store them so, most the other way round."""
         name = self.data[:4].decode("latin-1") if self.tag == CONTROL else ""
-        return name if name in ("tbl ", "eqed", *LINKS) else name[::-1]
+        return name if name in ("tbl ", "eqed", BOX, OBJECT, *LINKS, *NOTES) else name[::-1]
 
     def walk(self) -> Iterator[Record]:
         yield self
@@ -80,7 +82,7 @@ def inflate(data: bytes, limit: int = MAX_INFLATED) -> bytes:
             error = e
             continue
         if len(out) > limit:
-            raise Unreadable("총 압축 해제 크기 초과 (decompression bomb 의심)")
+            raise Unreadable("압축 해제 한도를 넘는 문서입니다")
         if z.eof:
             return out
         error = ValueError("incomplete stream")
@@ -91,7 +93,7 @@ def open_distributed(raw: bytes, compressed: bool) -> bytes:
     """A section of a distribution document: its first record hides the key of the rest."""
     head = next(read_records(raw), None)
     if head is None or head.tag != DISTRIBUTED or len(head.data) < 256:
-        raise ValueError("배포용 payload가 유효하지 않습니다")
+        raise ValueError("배포용 문서의 첫 레코드가 올바르지 않습니다")
     body = raw[raw.index(head.data) + len(head.data) :]
     seed, mask = struct.unpack_from("<I", head.data)[0], []
 
@@ -106,9 +108,14 @@ def open_distributed(raw: bytes, compressed: bool) -> bytes:
     plain = head.data[:4] + bytes(a ^ b for a, b in zip(head.data[4:256], mask[4:256], strict=True))
     key_at = 4 + (plain[0] & 0xF)
     if len(body) < 16:
-        raise ValueError("배포용 문서에 암호화된 본문 데이터가 없습니다")
+        raise ValueError("배포용 문서의 본문이 비어 있습니다")
     opened = aes.decrypt(body, plain[key_at : key_at + 16])
-    return inflate(opened) if compressed else opened
+    try:
+        return inflate(opened) if compressed else opened
+    except Unreadable:
+        raise
+    except Exception:  # noqa: BLE001  some writers encrypt what they have not packed
+        return opened
 
 
 #: A control of eight units begins with a code below 24 other than those of a line's and a paragraph's end.
@@ -157,31 +164,60 @@ class _Section:
             elif x.control == "tbl ":
                 yield from self.table(x)
 
-    def _outside_tables(self, x: Record) -> Iterator[Record]:
+    def _own(self, x: Record) -> Iterator[Record]:
+        """The records of a paragraph without what tables, notes and boxes hold."""
         for k in x.kids:
             yield k
-            if k.control != "tbl ":
-                yield from self._outside_tables(k)
+            if k.control not in ("tbl ", BOX, *NOTES):
+                yield from self._own(k)
+
+    def _lines(self, control: Record) -> list[str]:
+        """The paragraphs of a note or box, in lines."""
+        lines: list[str] = []
+        for p in (x for x in control.walk() if x.tag == PARAGRAPH):
+            inside = list(self._own(p))
+            equations = [e for x in inside if x.control == "eqed" and (e := _equation(x))]
+            lines += [t for t in ["".join(paragraph_text(x.data, equations) for x in inside if x.tag == TEXT).strip()] if t]
+        return lines
 
     def paragraph(self, p: Record) -> Iterator[Row]:
-        """A paragraph with the text of notes and boxes in it, then the pictures and tables that it holds."""
-        inside = list(self._outside_tables(p))
+        """A paragraph with its notes, then the boxes, pictures and tables that it holds."""
+        inside = list(self._own(p))
         equations = [e for x in inside if x.control == "eqed" and (e := _equation(x))]
         text = "".join(paragraph_text(x.data, equations) for x in inside if x.tag == TEXT).strip()
         if text:
             at = self.place()
+            here = f"{self.number}:{at}"
             links = [u for x in inside if x.control in LINKS and (u := _address(x.data))]
+            notes = [" ".join(lines) for x in inside if x.control in NOTES and (lines := self._lines(x))]
             style = struct.unpack_from("<H", p.data, 8)[0] if len(p.data) >= 10 else None
-            yield row("paragraph", self.number, at, text=text, style=style, link=f"{self.number}:{at}" if links else None)
+            yield row("paragraph", self.number, at, text=text, style=style, link=here if links else None, note=here if notes else None)
             if links:
-                yield row("rel", text=links[0], id=f"{self.number}:{at}")
+                yield row("rel", text=links[0], id=here)
+            if notes:
+                yield row("note", text="; ".join(notes), id=here)
             shapes = [struct.unpack_from("<I", x.data, k)[0] for x in inside if x.tag == CHARS for k in range(4, len(x.data) // 8 * 8, 8)]
             yield from (row("shape", self.number, at, r=k, text=str(s)) for k, s in enumerate(shapes))
         for x in inside:
-            if x.tag == PICTURE and len(x.data) >= PICTURE_ITEM + 2:
+            if x.control == BOX:
+                yield from self.box(x)
+            elif x.tag == PICTURE and len(x.data) >= PICTURE_ITEM + 2:
                 yield self.picture(struct.unpack_from("<H", x.data, PICTURE_ITEM)[0])
             elif x.control == "tbl ":
                 yield from self.table(x)
+            elif x.control == OBJECT:
+                yield row("warning", self.number, text=f"개체를 건너뜀: {OBJECT.strip()}", code="SKIPPED_IMAGE")
+
+    def box(self, control: Record) -> Iterator[Row]:
+        """A drawing object: its picture, or the text in it, and tables there."""
+        pictures = [x for x in control.walk() if x.tag == PICTURE and len(x.data) >= PICTURE_ITEM + 2]
+        for x in pictures:
+            yield self.picture(struct.unpack_from("<H", x.data, PICTURE_ITEM)[0])
+        if lines := self._lines(control):
+            yield row("paragraph", self.number, self.place(), text="\n".join(lines))
+        for x in control.walk():
+            if x.control == "tbl ":
+                yield from self.table(x)
 
     def picture(self, item: int) -> Row:
         name, data = self.items.get(item, (f"BinData {item}", b""))
@@ -236,7 +272,7 @@ class _Section:
             elif x.control == "tbl ":
                 flush()
                 self.nested[0] += 1
-                lines.append(f"[중첩 테이블 #{self.nested[0]}]")
+                lines.append(nested_mark(self.nested[0]))
         flush()
         return "\n".join(lines)
 
@@ -260,7 +296,8 @@ def _shapes(info: list[Record]) -> Iterator[Row]:
             yield row("style", id=numbers[PARA_SHAPES], outline=level if 1 <= level <= 6 else None)
         elif x.tag == CHAR_SHAPES and len(x.data) >= 18:
             size = struct.unpack_from("<I", x.data, 42)[0] if len(x.data) >= 50 else 0
-            yield row("char", id=numbers[CHAR_SHAPES], size=size / 10 if size else None)
+            marks = struct.unpack_from("<I", x.data, 46)[0] if len(x.data) >= 50 else 0
+            yield row("char", id=numbers[CHAR_SHAPES], size=size / 10 if size else None, italic=1 if marks & 1 else None, bold=1 if marks & 2 else None)
         elif x.tag == STYLES and len(x.data) >= 8:
             try:
                 local, at = _string(x.data, 0)
@@ -324,24 +361,26 @@ def hwp(content: bytes) -> Iterator[Row]:
     try:
         files = streams(content)
     except BadCompoundFile as e:
-        raise Unreadable(f"CFB 컨테이너 파싱 실패: {e}") from e
+        raise Unreadable(f"복합 파일을 열지 못했습니다: {e}") from e
     head = files.get("FileHeader")
     if not head:
-        raise Unreadable("FileHeader 스트림 없음")
+        raise Unreadable("FileHeader가 들어 있지 않습니다")
     if len(head) < 40:
-        raise Unreadable("FileHeader가 너무 짧습니다 (최소 40바이트)")
+        raise Unreadable("FileHeader가 40바이트보다 짧습니다")
     if head[:32].decode("utf-8", "replace").rstrip("\0") != "HWP Document File":
-        raise Unreadable("HWP 시그니처 불일치")
+        raise Unreadable("HWP의 시그니처가 아닙니다")
     flags = struct.unpack_from("<I", head, 36)[0]
     if flags & ENCRYPTED:
-        raise Unreadable("암호화된 HWP는 지원하지 않습니다")
+        raise Unreadable("암호화된 문서라 읽지 못합니다")
     if flags & DRM:
-        raise Unreadable("DRM 보호된 HWP는 지원하지 않습니다")
+        raise Unreadable("DRM이 걸린 문서라 읽지 못합니다")
     compressed, distributed = bool(flags & COMPRESSED), bool(flags & DISTRIBUTION)
     folder = "ViewText" if distributed else "BodyText"
     sections: list[bytes] = []
-    while len(sections) < MAX_SECTIONS and files.get(f"{folder}/Section{len(sections)}"):
-        raw = files[f"{folder}/Section{len(sections)}"]
+    parts = list(itertools.takewhile(files.get, (f"{folder}/Section{k}" for k in range(MAX_SECTIONS))))
+    if not parts:  # some writers put them elsewhere
+        parts = sorted((n for n in files if re.search(r"Section\d+$", n)), key=lambda n: (int(re.search(r"\d+$", n)[0]), n))[:MAX_SECTIONS]
+    for raw in (files[n] for n in parts):
         if distributed:
             try:
                 raw = open_distributed(raw, compressed)
@@ -351,7 +390,7 @@ def hwp(content: bytes) -> Iterator[Row]:
                 break
         sections.append(raw)
     if not sections:
-        raise Unreadable("섹션 스트림을 찾을 수 없습니다")
+        raise Unreadable("읽을 섹션을 찾을 수 없는 문서입니다")
     yield row("meta", text=str(len(sections)), name="page_count")
     yield row("meta", text=f"{head[35]}.x", name="version")
     yield from _summary(files)
@@ -370,11 +409,11 @@ def hwp(content: bytes) -> Iterator[Row]:
             body = inflate(raw, room) if compressed and not distributed else raw
             room -= len(body)
             if room < 0:
-                raise Unreadable("총 압축 해제 크기 초과 (decompression bomb 의심)")
+                raise Unreadable("압축 해제 한도를 넘는 문서입니다")
             found = list(_Section(i, nested, items).rows(tree(read_records(body))))
         except Unreadable:
             raise
         except Exception as e:
-            yield row("warning", i, text=f"섹션 {i + 1} 파싱 실패: {e}", code="PARTIAL_PARSE")
+            yield row("warning", i, text=f"섹션 {i + 1}을 끝까지 읽지 못했습니다: {e}", code="PARTIAL_PARSE")
             continue
         yield from found

@@ -9,7 +9,8 @@ import zlib
 from collections.abc import Iterator
 
 from paperloom.functions.equation import script_latex
-from paperloom.sources.rows import Row, Unreadable, row
+from paperloom.functions.text import TRAVERSAL
+from paperloom.sources.rows import Row, Unreadable, nested_mark, row
 from paperloom.sources.scan import MAX_ENTRIES, MAX_UNZIPPED
 from paperloom.sources.xmltree import Node, parse
 
@@ -32,8 +33,7 @@ _LINK = re.compile(r"(?:https?:|mailto:|tel:|#)", re.IGNORECASE)
 
 
 def unsafe(name: str) -> bool:
-    path = name.replace("\\", "/")
-    return "\0" in path or ".." in path.split("/") or path.startswith("/") or re.match(r"[A-Za-z]:", path) is not None
+    return re.search(TRAVERSAL, name) is not None
 
 
 def metadata(z: zipfile.ZipFile) -> Iterator[Row]:
@@ -178,8 +178,7 @@ class _Section:
     def mark(self, cells: list[list[str]]) -> str:
         self.tables += 1
         hint = " | ".join(t for x in cells[0] if (t := x.strip().replace("\n", " ")))
-        hint = hint[:60] + "…" if len(hint) > 60 else hint
-        return f"[중첩 테이블 #{self.tables}: {hint}]" if hint else f"[중첩 테이블 #{self.tables}]"
+        return nested_mark(self.tables, hint)
 
     def box(self, node: Node, depth: int) -> None:
         for k in node.kids if depth < MAX_DEPTH else ():
@@ -205,7 +204,7 @@ class _Section:
         elif ref:
             self.rows.append(row("image", self.number, self.place(), text=ref))
         elif alone:
-            self.rows.append(row("warning", self.number, text=f"그림을 찾을 수 없는 요소: {node.tag}", code="SKIPPED_IMAGE"))
+            self.rows.append(row("warning", self.number, text=f"그림이 들어 있지 않은 {node.tag} 요소", code="SKIPPED_IMAGE"))
         return None
 
     def image_part(self, ref: str) -> str | None:
@@ -237,7 +236,7 @@ class _Section:
             loose += [mark, *filter(None, lines), mark]
             return texts
         at = self.place()
-        self.rows += [row("cell", self.number, at, r, c, text, **attrs) for r, c, text, attrs in cells]
+        self.rows += [row("cell", self.number, at, r, c, text, i=i, lines=len(texts), **attrs) for i, (r, c, text, attrs) in enumerate(cells)]
         if loose is not None and texts:
             loose.append(self.mark(texts))
         return texts
@@ -259,16 +258,20 @@ class _Section:
 def sections(z: zipfile.ZipFile) -> Iterator[Row]:
     names = set(z.namelist())
     if "META-INF/manifest.xml" in names and b"encryption-data" in z.read("META-INF/manifest.xml"):
-        raise Unreadable("DRM으로 암호화된 HWPX 문서입니다")
+        raise Unreadable("암호화된 HWPX라 읽지 못합니다")
     yield from metadata(z)
     header = next((n for n in z.namelist() if n.endswith("header.xml")), None)
     if header:
         for n in parse(z.read(header)).walk():
-            if n.tag in ("charPr", "char_pr") and n.attrs.get("height", "").isdigit():
-                yield row("char", id=n.attrs.get("id") or n.attrs.get("IDRef"), size=int(n.attrs["height"]) / 100)
+            ident = n.attrs.get("id") or n.attrs.get("IDRef") if n.tag in ("charPr", "char_pr") else None
+            if ident:
+                height = n.attrs.get("height", "")
+                face = next((f for k in n.walk() if k.tag in ("fontface", "fontRef") and (f := k.attrs.get("face") or k.attrs.get("FontFace"))), None)
+                on = {k: 1 if n.attrs.get(k) in ("true", "1") else None for k in ("bold", "italic")}
+                yield row("char", id=ident, size=int(height) / 100 if height.isdigit() and int(height) else None, face=face, **on)
     parts = section_parts(z)
     if not parts:
-        raise Unreadable("HWPX에서 섹션 파일을 찾을 수 없습니다")
+        raise Unreadable("읽을 섹션을 찾을 수 없는 HWPX입니다")
     yield row("meta", text=str(len(parts)), name="page_count")
     count = tables = 0
     for s, part in enumerate(parts):
@@ -310,13 +313,13 @@ def _local_files(content: bytes) -> Iterator[tuple[str, bytes]]:
             continue
         unpacked += len(raw)
         if unpacked > MAX_UNZIPPED:
-            raise Unreadable("압축 해제 크기 초과")
+            raise Unreadable("HWPX의 압축 해제 한도를 넘었습니다")
         yield name, raw
 
 
 def recovered(content: bytes) -> Iterator[Row]:
     """The sections of a file whose ZIP directory can't be read, without styles and images."""
-    yield row("warning", text="손상된 ZIP에서 섹션을 복구했습니다", code="BROKEN_ZIP_RECOVERY")
+    yield row("warning", text="ZIP 목록이 깨져 남은 섹션만 읽었습니다", code="BROKEN_ZIP_RECOVERY")
     number = count = tables = 0
     any_content = False
     for name, raw in _local_files(content):
@@ -331,4 +334,4 @@ def recovered(content: bytes) -> Iterator[Row]:
         any_content = any_content or any(r["kind"] != "warning" for r in section.rows)
         number, count, tables = number + 1, section.next, section.tables
     if not any_content:
-        raise Unreadable("손상된 HWPX에서 섹션 데이터를 복구할 수 없습니다")
+        raise Unreadable("깨진 HWPX라 복구할 수 없습니다")

@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_FILE = 500 << 20
+OVERSIZED = "oversized"
 MAX_ENTRIES, MAX_UNZIPPED = 500, 100 << 20
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """doc_id, path, length and content of the files below ``path``; larger ones than the limit are not read."""
+def read_documents(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """doc_id, path, length and content of the files below ``path``; larger ones than the limit are not read and have no content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= MAX_FILE).select(F.xxhash64("path").alias("doc_id"), "path", "length", "content")
+    # the reader knows a file's length before it reads it, so each side reads no more than it needs
+    small = files.where(F.col("length") <= MAX_FILE).select("path", "length", "content")
+    large = files.where(F.col("length") > MAX_FILE).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).select(F.xxhash64("path").alias("doc_id"), "path", "length", "content")
 
 
 def coarse_format(content: Column) -> Column:
@@ -97,6 +101,9 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, file_type, unpacked, entries and content."""
-    marked = docs.select("doc_id", "content", coarse_format(F.col("content")).alias("coarse"))
+    """doc_id, file_type, unpacked, entries and content; a file whose ``length`` is above the limit is ``oversized``."""
+    coarse = coarse_format(F.col("content"))
+    if "length" in docs.columns:
+        coarse = F.when(F.col("content").isNull() & (F.col("length") > MAX_FILE), OVERSIZED).otherwise(coarse)
+    marked = docs.select("doc_id", "content", coarse.alias("coarse"))
     return marked.mapInArrow(_refine, "doc_id long, file_type string, unpacked long, entries int, content binary")

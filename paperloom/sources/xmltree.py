@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from xml.etree import ElementTree as ET
 
-_DOCTYPE = re.compile(r"<!DOCTYPE\s[^\[>]*(\[[\s\S]*?\])?\s*>", re.IGNORECASE)
+from paperloom.functions.text import DOCTYPE
+
+_DOCTYPE = re.compile(DOCTYPE)
 _STRAY = re.compile(r"&(?!#\d+;|#x[0-9A-Fa-f]+;|amp;|lt;|gt;|quot;|apos;)")
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
@@ -39,9 +42,54 @@ class Node:
 
 
 def parse(raw: bytes | str) -> Node:
-    text = raw.decode("utf-8", "replace").lstrip("﻿") if isinstance(raw, bytes) else raw
+    text = raw.decode("utf-8", "replace").lstrip("\ufeff") if isinstance(raw, bytes) else raw
     text = re.sub(r"^\s*<\?xml[^>]*\?>", "", _DOCTYPE.sub("", text))
-    try:
-        return Node(ET.fromstring(text))
-    except ET.ParseError:
-        return Node(ET.fromstring(_ILLEGAL.sub("", _STRAY.sub("&amp;", text))))
+    for repaired in (lambda: text, lambda: _ILLEGAL.sub("", _STRAY.sub("&amp;", text))):
+        try:
+            return Node(ET.fromstring(repaired()))
+        except ET.ParseError:
+            pass
+    return Node(_rebuilt(_ILLEGAL.sub("", text)))
+
+
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<(?P<end>/?)(?P<name>[\w:.-]+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<alone>/?)>", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
+
+
+def _rebuilt(text: str) -> ET.Element:
+    """The elements of text that is no well-formed XML: an end without a start is left out, and what is open ends with its parent."""
+    root = ET.Element("_")
+    path, opened, at = [root], {"_": 1}, 0
+    local = lambda name: name.rpartition(":")[2]
+
+    def said(piece: str) -> None:
+        if len(path[-1]):
+            path[-1][-1].tail = (path[-1][-1].tail or "") + piece
+        else:
+            path[-1].text = (path[-1].text or "") + piece
+
+    for m in _MARKUP.finditer(text):
+        if m.start() > at:
+            said(unescape(text[at : m.start()]))
+        at = m.end()
+        if m["data"] is not None:
+            said(m["data"])
+        if m["name"] is None:
+            continue
+        name = local(m["name"])
+        if m["end"]:
+            while opened.get(name, 0):
+                done = path.pop().tag
+                opened[done] -= 1
+                if done == name:
+                    break
+            continue
+        e = ET.SubElement(path[-1], name, {local(k): unescape(v[1:-1]) for k, v in _ATTRIBUTE.findall(m["attrs"])})
+        if not m["alone"]:
+            path.append(e)
+            opened[name] = opened.get(name, 0) + 1
+    if at < len(text):
+        said(unescape(text[at:]))
+    if not len(root):
+        raise ValueError("no XML element")
+    return root[0] if len(root) == 1 else root
