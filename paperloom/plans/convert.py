@@ -6,12 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import clean_numeric, error_code, page_set, strip
+from paperloom.functions.text import clean_numeric, error_code, page_list, page_set, strip
 from paperloom.operators import classify, grid, render
 from paperloom.sources import decode, scan
 
 TABLE = ["doc_id", "section", "ord"]
-BLOCK = ["doc_id", "section", "ord", "type", "text", "level", "page_number", "list_type", "href", "footnote_text", "font_size"]
+BLOCK = ["doc_id", "section", "ord", "type", "text", "level", "page_number", "list_type", "href", "footnote_text", "font_size", "font_name", "bold", "italic"]
 
 
 def _attr(name: str) -> Column:
@@ -20,7 +20,7 @@ def _attr(name: str) -> Column:
 
 def _blocks(df: DataFrame, more: tuple[str, ...] = (), **columns: Column) -> DataFrame:
     null = F.lit(None)
-    kinds = {"level": "int", "page_number": "int", "font_size": "double"}
+    kinds = {"level": "int", "page_number": "int", "font_size": "double", "bold": "boolean", "italic": "boolean"}
     return df.select(*[(columns.get(c, F.col(c) if c in ("doc_id", "section", "ord", "text") else null)).cast(kinds.get(c, "int" if c == "section" else "long" if c in ("doc_id", "ord") else "string")).alias(c) for c in BLOCK], *more)
 
 
@@ -41,6 +41,8 @@ def sheet_grids(rows: DataFrame) -> DataFrame:
     keys = ["doc_id", "section"]
     cells = sheet_cells(rows)
     extent = cells.groupBy(*keys).agg(F.min(F.when(F.col("text") != "", F.col("r"))).alias("r1"), F.max(F.when(F.col("text") != "", F.col("r"))).alias("r2"), F.max("c").alias("c2")).where("r1 IS NOT NULL")
+    # the limit counts from the first row that has text
+    extent = extent.withColumn("r2", F.least("r2", F.col("r1") + grid.MAX_ROWS - 1))
     dense = extent.select(*keys, F.explode(F.sequence("r1", "r2")).alias("r"), "c2").select(*keys, "r", F.explode(F.sequence(F.lit(0), F.col("c2"))).alias("c"))
     full = dense.join(cells, [*keys, "r", "c"], "left").select(*keys, "r", "c", F.coalesce("text", F.lit("")).alias("text"))
     merges = rows.where("kind = 'merge'").select(*keys, *[_attr(k).cast("int").alias(k) for k in ("r1", "c1", "r2", "c2")])
@@ -60,9 +62,12 @@ _GRID = [*TABLE, "r", "c", "text", "col_span", "row_span"]
 def document_grids(rows: DataFrame) -> DataFrame:
     """The same of the tables in text documents."""
     cells = _spanned(rows, flow=False)
-    placed = cells.where(_attr("placed").isNotNull()).withColumn("row_span", F.coalesce(_attr("rows").cast("int"), F.lit(1))).select(*_GRID)
+    said = F.coalesce(_attr("rows").cast("int"), F.lit(1))
+    at = cells.where(_attr("placed").isNotNull()).withColumn("row_span", said)
+    placed = grid.place_directly(at.select(*_GRID, _attr("i").cast("int").alias("i"), _attr("lines").cast("int").alias("n_rows")), TABLE).select(*_GRID)
     raw = cells.where(_attr("placed").isNull()).withColumnRenamed("r", "row_ord").withColumnRenamed("c", "cell_ord")
     merged = grid.vertical_runs(raw, TABLE, (_attr("merge").isNotNull()) & (_attr("merge") != "restart"))
+    merged = merged.withColumn("row_span", F.greatest("row_span", said))  # vertical runs, or spans that cells give
     flowed = grid.place_cells(merged.select(*TABLE, "row_ord", "cell_ord", "text", "col_span", "row_span"), TABLE).select(*_GRID)
     return grid.trim_columns(placed.unionByName(flowed), TABLE)
 
@@ -87,19 +92,19 @@ def text_blocks(rows: DataFrame, files: DataFrame) -> DataFrame:
     # a paragraph has one character shape, or the most frequent one of its runs
     runs = grid.dominant_value(rows.where("kind = 'shape'").select(*TABLE, "r", F.col("text").alias("_run")), TABLE, "_run", "r")
     x = x.join(runs, TABLE, "left").withColumn("char", F.coalesce("char", "_run"))
-    x = x.join(of("char", "id", "size").drop("char_text").withColumnRenamed("char_id", "char"), ["doc_id", "char"], "left")
-    x = x.join(of("numbering", "num", "ilvl", "fmt").drop("numbering_text").withColumnRenamed("numbering_num", "num").withColumnRenamed("numbering_ilvl", "ilvl"), ["doc_id", "num", "ilvl"], "left")
+    x = x.join(of("char", "id", "size", "face", "bold", "italic").drop("char_text").withColumn("char", F.col("char_id")), ["doc_id", "char"], "left")
+    formats = rows.where("kind = 'numbering'").select("doc_id", _attr("num").alias("num"), _attr("ilvl").alias("ilvl"), _attr("fmt").alias("fmt"))
+    x = classify.list_kind(formats, x, ["doc_id", "num", "ilvl"])
     level = F.coalesce(F.col("outline"), F.col("style_outline")).cast("int")
     docx = F.when(level.between(0, 5), level + 1)
     hwpml = F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(0)) + 1, F.lit(6)))
     level = F.when(F.col("file_type") == "docx", docx).when(F.col("file_type") == "hwpml", hwpml).when(F.col("file_type") == "hwp", level)
     listed = F.col("num").isNotNull() & (F.col("num") != "0")
     kind = F.when(level.isNotNull(), "heading").when(listed, "list").otherwise("paragraph")
-    list_type = F.when(listed, F.when(F.col("numbering_fmt") == "bullet", "unordered").otherwise("ordered"))
-    list_type = F.when(F.col("plain").isNotNull(), "verbatim").otherwise(list_type)
+    list_type = F.when(F.col("plain").isNotNull(), "verbatim").when(listed, F.col("list_type"))
     page = F.when(~F.col("file_type").isin("docx", "hwp3"), F.col("section") + 1)
     x = x.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("file_type", F.coalesce("rule", "file_type"))
-    return _blocks(x, ("file_type",), type=kind, level=level, page_number=page, list_type=list_type, href=F.col("rel_text"), footnote_text=F.col("note_text"), font_size=F.col("char_size"))
+    return _blocks(x, ("file_type",), type=kind, level=level, page_number=page, list_type=list_type, href=F.col("rel_text"), footnote_text=F.col("note_text"), font_size=F.col("char_size"), font_name=F.col("char_face"), **{c: F.when(F.col("char_id").isNotNull(), F.col(f"char_{c}").isNotNull()) for c in ("bold", "italic")})
 
 
 def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,21 +183,25 @@ _IN_SECTION = ("paragraph", "cell", "merge", "sheet", "shape", "image", "warning
 _SECTIONED = ("xlsx", "xls", "hwp", "hwpx", "hwpml")
 
 
-def select_pages(rows: DataFrame, pages: str | None) -> DataFrame:
-    """The rows of the sheets or sections that ``pages`` names (such as 1,3,5-7); a range that selects none selects all."""
+def select_pages(rows: DataFrame, pages: str | list[float] | None) -> DataFrame:
+    """The rows of the sheets or sections that ``pages`` names (such as 1,3,5-7, or a list of numbers); if it selects none, all."""
     if not pages:
         return rows
+    chosen = (lambda n: page_set(F.lit(pages), n)) if isinstance(pages, str) else (lambda n: page_list(F.lit([float(x) for x in pages]), n))
     count = F.coalesce(F.max(F.when((F.col("kind") == "meta") & (_attr("name") == "page_count"), F.col("text").cast("int"))), F.max("section") + 1)
     kind = F.max(F.when(F.col("kind") == "document", F.col("text")))
     wanted = rows.groupBy("doc_id").agg(count.alias("_n"), kind.alias("_kind")).where(F.col("_kind").isin(*_SECTIONED))
-    wanted = wanted.select("doc_id", page_set(F.lit(pages), F.col("_n")).alias("_pages")).where(F.size("_pages") > 0)
+    wanted = wanted.select("doc_id", chosen(F.col("_n")).alias("_pages")).where(F.size("_pages") > 0)
     keep = F.col("_pages").isNull() | ~F.col("kind").isin(*_IN_SECTION) | F.array_contains("_pages", F.col("section") + 1)
     return rows.join(wanted, "doc_id", "left").where(keep).drop("_pages")
 
 
 def results(rows: DataFrame) -> DataFrame:
     """One row for each document: doc_id, success, file_type, markdown, page_count, error, code."""
-    found, grids = blocks(rows)
+    return _results(rows, *blocks(rows))
+
+
+def _results(rows: DataFrame, found: DataFrame, grids: DataFrame) -> DataFrame:
     tables = render.table_markdown(grids, TABLE)
     # sections come one after another: a document's order is (section, ord)
     place = F.col("section").cast("long") * (1 << 40) + F.col("ord")
@@ -212,12 +221,34 @@ def results(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse(docs: DataFrame, pages: str | None = None) -> DataFrame:
+def parse(docs: DataFrame, pages: str | list[float] | None = None) -> DataFrame:
     """The results of documents (doc_id, content), of all or of the chosen sheets or sections."""
-    return results(select_pages(decode.decode(scan.detect(docs)), pages))
+    return Conversion(docs, pages).results()
+
+
+class Conversion:
+    """The conversion of documents (doc_id, content) and what it keeps while it is read: use it as a context to let that go again."""
+
+    def __init__(self, docs: DataFrame, pages: str | list[float] | None = None):
+        self.decoded = decode.decode(scan.detect(docs))
+        self.rows = select_pages(self.decoded, pages)
+        self.blocks, self.grids = blocks(self.rows)
+
+    def results(self) -> DataFrame:
+        return _results(self.rows, self.blocks, self.grids)
+
+    def __enter__(self) -> Conversion:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.grids.unpersist()
+        self.decoded.unpersist()
 
 
-def to_json(found: DataFrame) -> DataFrame:
-    """doc_id and the JSON text of each result."""
-    fields = F.struct("file_type", "markdown", "page_count")
-    return found.select("doc_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+def to_json(found: DataFrame, said: DataFrame) -> DataFrame:
+    """doc_id and the JSON text of each result, with the warnings ``said`` (doc_id, page, code, message)."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page", "code", "message"))), lambda w: F.struct(w["message"].alias("message"), w["code"].alias("code"), w["page"].alias("page")))
+    x = found.join(said.groupBy("doc_id").agg(listed.alias("warnings")), "doc_id", "left")
+    none = F.slice(F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("message", "string"), ("code", "string"), ("page", "int"))])), 1, 0)
+    fields = F.struct("file_type", "markdown", "page_count", F.coalesce("warnings", none).alias("warnings"))
+    return x.select("doc_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))

@@ -16,6 +16,7 @@ def convert_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str)
     files = spark.readStream.format("binaryFile").schema(_FILES).load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
     def sink(batch: DataFrame, _: int) -> None:
-        convert.parse(batch).write.mode("append").parquet(out)
+        with convert.Conversion(batch) as found:  # a batch leaves nothing kept behind
+            found.results().write.mode("append").parquet(out)
 
     return files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
