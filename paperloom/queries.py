@@ -98,13 +98,13 @@ def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("spec", F.explode(T.page_set(F.col("spec"), F.col("most"))).alias("page"))
 
 
-@query("""SELECT p_partkey, 26 * (p_partkey % 20) + p_size AS c, (p_partkey - 1)::INT AS r FROM part WHERE p_size <= 26""".replace("26 * (p_partkey % 20) + p_size AS c", "(26 * (p_partkey % 20) + p_size - 1)::INT AS c"))
+@query("""SELECT p_partkey, (26 * ((p_size - 1) // 26 + p_partkey % 20) + (p_size - 1) % 26)::INT AS c, (p_partkey - 1)::INT AS r FROM part""")
 def cell_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size <= 26")
+    p = table(spark, sf_dir, "part")
     letter = lambda n: F.char(64 + n)
-    high = (F.col("p_partkey") % 20).cast("int")
-    ref = F.concat(F.when(high > 0, letter(high)).otherwise(""), letter(F.col("p_size")), F.col("p_partkey").cast("string"))
-    return p.select("p_partkey", T.cell_column(ref).alias("c"), T.cell_row(ref).alias("r"))
+    high = (F.floor((F.col("p_size") - 1) / 26) + F.col("p_partkey") % 20).cast("int")
+    ref = F.concat(F.when(high > 0, letter(high)).otherwise(""), letter((F.col("p_size") - 1) % 26 + 1), F.col("p_partkey").cast("string"))
+    return p.select("p_partkey", T.cell_place(ref).alias("at")).select("p_partkey", "at.c", "at.r")
 
 
 _NUMBERS = [("132.30000000000001", "132.3"), ("1.0", "1.0"), ("5", "5"), ("1e5", "1e5"), ("0.00001", "1e-05"), ("0.30000000000000004", "0.3"), ("-2.50", "-2.5"), ("abc", "abc")]
@@ -153,14 +153,17 @@ def merge_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(n_name, '') AS text FROM lineitem LEFT JOIN nation ON l_suppkey % 30 = n_nationkey")
 def sst_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strings = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("s"))
-    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 30).alias("idx"))
-    return cells.join(strings, "idx", "left").select("l_orderkey", "l_linenumber", F.coalesce("s", F.lit("")).alias("text"))
+    """The plan's look-up of shared strings, on rows as a decoder gives them: an order is a sheet's row."""
+    base = lambda df, kind, r, c, text, attrs: df.select(F.lit(1).cast("long").alias("doc_id"), F.lit(kind).alias("kind"), F.lit(0).alias("section"), r.cast("long").alias("ord"), r.cast("int").alias("r"), c.cast("int").alias("c"), text.alias("text"), attrs.alias("attrs"))
+    strings = base(table(spark, sf_dir, "nation"), "string", F.col("n_nationkey"), F.lit(0), F.col("n_name"), F.create_map(F.lit("x"), F.lit("")))
+    cells = base(table(spark, sf_dir, "lineitem"), "cell", F.col("l_orderkey"), F.col("l_linenumber"), (F.col("l_suppkey") % 30).cast("string"), F.create_map(F.lit("type"), F.lit("s")))
+    return convert.sheet_cells(strings.unionByName(cells)).select(F.col("r").cast("long").alias("l_orderkey"), F.col("c").alias("l_linenumber"), "text")
 
 
 @query("SELECT p_brand, p_size FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS k FROM part GROUP BY p_brand, p_size) WHERE k = 1")
 def modal_font(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.modal_value(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_partkey")
+    found = classify.with_common_size(_sized_blocks(spark, sf_dir), "p_brand", "size")
+    return found.select("p_brand", F.col("size").cast("int").alias("p_size")).distinct()
 
 
 @query("SELECT l_orderkey, l_discount FROM (SELECT l_orderkey, l_discount, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, max(l_linenumber * 10000000 + l_partkey), l_discount) AS k FROM lineitem GROUP BY l_orderkey, l_discount) WHERE k = 1")
@@ -268,18 +271,12 @@ def attachment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.fuse_attachments(b, "doc_id").select("doc_id", "ord", "text", "fused")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ord FROM documents)
-SELECT doc_id, ord::INT AS ord, md5(line) AS digest FROM l""")
-def blocks_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_blocks(spark, sf_dir).select("doc_id", "ord", F.md5("text").alias("digest"))
-
-
-@query("""WITH c AS (SELECT conv_id AS t, turn AS r, text, length(text) - length(replace(text, chr(10), '')) AS nl FROM conversations WHERE text IS NOT NULL),
+@query("""WITH c AS (SELECT conv_id AS t, turn AS r, text, length(text) - length(replace(text, chr(10), '')) AS nl FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
 g AS (SELECT *, max(r) OVER (PARTITION BY t) + 1 AS rows, sum(nl) OVER (PARTITION BY t) AS nls, sum(length(text)) OVER (PARTITION BY t) AS len FROM c),
 l AS (SELECT t, r, unnest(string_split(trim(text), chr(10))) AS x FROM g WHERE rows <= 3 AND rows > 1 AND (nls > 5 OR (rows <= 2 AND len > 300)))
 SELECT t, r::INT AS r, count(*) AS n_lines, sum(length(trim(x)))::BIGINT AS n_chars FROM l WHERE trim(x) <> '' GROUP BY t, r""")
 def layout_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("t"), F.col("turn").cast("int").alias("r"), F.lit(0).alias("c"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("t"), F.col("turn").cast("int").alias("r"), F.lit(0).alias("c"), F.coalesce("text", F.lit("")).alias("text"))
     lines, _ = render.flatten_layout_tables(c, ["t"])
     return lines.groupBy("t", "r").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -293,30 +290,36 @@ h AS (SELECT p_brand, p_partkey, p_name, CASE WHEN size / base >= 1.5 THEN 1 WHE
 
 def _sized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_brand", F.col("p_partkey").alias("ord"), F.lit("paragraph").alias("type"), F.col("p_name").alias("text"), F.lit(None).cast("int").alias("level"), F.col("p_size").cast("double").alias("font_size"))
+    return p.select("p_brand", F.col("p_partkey").alias("ord"), F.lit("paragraph").alias("type"), F.col("p_name").alias("text"), F.lit(None).cast("int").alias("level"), F.col("p_size").cast("double").alias("font_size"), F.lit(0).alias("section"), F.lit("hwpx").alias("file_type"))
+
+
+def _with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.with_headings(_sized_blocks(spark, sf_dir), values(spark, [], "p_brand string, base double"), "p_brand")
 
 
 @query(_HEADINGS + "SELECT p_partkey, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS type, level::INT AS level FROM h")
 def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.detect_headings(_sized_blocks(spark, sf_dir), "p_brand").select(F.col("ord").alias("p_partkey"), "type", "level")
+    return _with_headings(spark, sf_dir).select(F.col("ord").alias("p_partkey"), "type", "level")
 
 
 @query(_HEADINGS + "SELECT p_brand, p_partkey, p_name AS text, level::INT AS level FROM h WHERE level IS NOT NULL")
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.outline(classify.detect_headings(_sized_blocks(spark, sf_dir), "p_brand")).select("p_brand", F.col("ord").alias("p_partkey"), "text", "level")
+    return classify.outline(_with_headings(spark, sf_dir)).select("p_brand", F.col("ord").alias("p_partkey"), "text", "level")
 
 
 @query("SELECT o_orderkey, CASE WHEN r_name IS NOT NULL AND r_regionkey % 2 = 0 THEN 'unordered' ELSE 'ordered' END AS list_type FROM orders LEFT JOIN region ON o_custkey % 7 = r_regionkey")
 def numbering_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     fmt = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("num_id"), F.lit(0).alias("ilvl"), F.when(F.col("r_regionkey") % 2 == 0, "bullet").otherwise("decimal").alias("fmt"))
     p = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("num_id"), F.lit(0).alias("ilvl"))
-    return classify.list_kind(fmt, p).select("o_orderkey", "list_type")
+    return classify.list_kind(fmt, p, ["num_id", "ilvl"]).select("o_orderkey", "list_type")
 
 
 @query("""SELECT n_nationkey, '[중첩 테이블 #' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || ': ' || CASE WHEN length(h) > 60 THEN h[1:60] || '…' ELSE h END || ']' AS marker FROM (SELECT *, repeat(n_name || ' | ', 1 + n_nationkey % 9) || n_name AS h FROM nation)""")
 def nested_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("ord"), F.concat(F.repeat(F.concat("n_name", F.lit(" | ")), 1 + F.col("n_nationkey") % 9), F.col("n_name")).alias("h"))
-    x = classify.numbered(n, "n_regionkey", "number")
+    from pyspark.sql import Window
+
+    x = n.withColumn("number", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("ord")))
     return x.select(F.col("ord").alias("n_nationkey"), classify.nested_marker(F.col("number"), F.col("h")).alias("marker"))
 
 
@@ -443,13 +446,16 @@ def hwp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, sf_dir, samples.hwp)
 
 
-#: The sample writer for this format leaves out letters that its code lacks, so both sides keep ASCII.
-_ASCII = _LINES.replace("SELECT doc_id, ord, regexp_replace(regexp_replace(line,", r"SELECT doc_id, ord, regexp_replace(regexp_replace(regexp_replace(line, '[^\x01-\x7F]', '', 'g'),")
+#: This format's code has Hangul, so letters beyond ASCII are put as syllables there.
+_HANGUL = _LINES.replace("SELECT doc_id, ord, regexp_replace(regexp_replace(line,", r"SELECT doc_id, ord, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[^\x01-\x7Fà-ÿ]', '힣', 'g'), '[à-ÿ]', '한', 'g'),")
 
 
-@query(_ASCII + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, false AS heading, md5(t) AS digest FROM x WHERE t <> ''")
+@query(_HANGUL + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, false AS heading, md5(t) AS digest FROM x WHERE t <> ''")
 def hwp3_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_back(spark, sf_dir, lambda lines, _: samples.hwp3([x.encode("ascii", "ignore").decode() for x in lines]))
+    import re
+
+    hangul = lambda x: re.sub("[à-ÿ]", "한", re.sub("[^\x01-\x7fà-ÿ]", "힣", x))
+    return _read_back(spark, sf_dir, lambda lines, _: samples.hwp3([hangul(x) for x in lines]))
 
 
 @query("""SELECT n_nationkey::BIGINT AS doc_id, n_name AS title, r_name AS author, n_name || '|k' || n_nationkey AS keywords, 1 AS page_count FROM nation JOIN region ON n_regionkey = r_regionkey""")
@@ -485,7 +491,7 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.parse(docs).select("doc_id", "code")
 
 
-@query("""SELECT n_nationkey::BIGINT AS doc_id, '{"file_type":"docx","markdown":"# ' || n_name || '","page_count":null}' AS json FROM nation""")
+@query("""SELECT n_nationkey::BIGINT AS doc_id, '{"file_type":"docx","markdown":"# ' || n_name || '","page_count":null,"warnings":[]}' AS json FROM nation""")
 def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("text"))
     import pyarrow as pa
@@ -494,4 +500,167 @@ def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "content": pa.array([samples.docx([t], frozenset([0])) for t in batch["text"].to_pylist()], pa.binary())})
 
-    return convert.to_json(convert.parse(n.mapInArrow(run, "doc_id long, content binary")))
+    c = convert.Conversion(n.mapInArrow(run, "doc_id long, content binary"))
+    return convert.to_json(c.results(), convert.warnings(c.rows))
+
+
+# --- documents of one nation each ---------------------------------------------------------
+
+
+def _nations(spark: SparkSession, sf_dir: str, write: Callable[[int, str, str], bytes]) -> DataFrame:
+    """doc_id and content: what ``write`` makes of each nation's key, name and region."""
+    import pyarrow as pa
+
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("doc_id"), "n_name", "r_name")
+
+    def run(batches):
+        for batch in batches:
+            content = [write(*x) for x in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "content": pa.array(content, pa.binary())})
+
+    return n.mapInArrow(run, "doc_id long, content binary")
+
+
+def _markdown(spark: SparkSession, sf_dir: str, write: Callable[[int, str, str], bytes]) -> DataFrame:
+    return convert.parse(_nations(spark, sf_dir, write)).select("doc_id", "markdown")
+
+
+_OF_NATIONS = "SELECT n_nationkey::BIGINT AS doc_id, {} FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+def _blocks_of(spark: SparkSession, sf_dir: str, write: Callable[[int, str, str], bytes]) -> DataFrame:
+    return convert.blocks(decode.decode(scan.detect(_nations(spark, sf_dir, write))))[0]
+
+
+@query(_OF_NATIONS.format("n_nationkey % 6 + 1 AS level, n_name AS text"))
+def docx_style_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings by the name of their style alone."""
+    styles = lambda k: f'<w:styles xmlns:w="w"><w:style w:styleId="H1"><w:name w:val="heading {k % 6 + 1}"/></w:style></w:styles>'
+    found = _blocks_of(spark, sf_dir, lambda k, n, r: samples.docx([n, r], frozenset([0]), more={"word/styles.xml": styles(k)}))
+    return found.where("type = 'heading'").select("doc_id", "level", "text")
+
+
+@query(_OF_NATIONS.format("'first' || chr(10) || chr(10) || n_name || ' (주: ' || r_name || '; k' || n_nationkey || ')' || chr(10) || chr(10) || 'boxed ' || r_name AS markdown"))
+def hwp_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph with a footnote and an endnote, and a box behind it."""
+
+    def write(k: int, n: str, r: str) -> bytes:
+        inside = lambda name, text: samples.record(0x47, 1, name + bytes(4)) + samples.record(0x48, 2, bytes(8)) + samples.hwp_paragraph(text, 2)
+        return samples.hwp(["first", n], inner=inside(b"  nf", r) + inside(b"  ne", f"k{k}") + inside(b" osg", f"boxed {r}"))
+
+    return _markdown(spark, sf_dir, write)
+
+
+@query(_OF_NATIONS.format("n_name AS text, n_nationkey % 2 = 1 AS bold, n_nationkey % 3 = 1 AS italic, r_name AS font_name, 8.0::DOUBLE + n_nationkey AS font_size"))
+def inline_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = lambda name, yes: f' {name}="{int(yes)}"'
+    head = lambda k, r: f'<head><charPr id="0" height="{800 + 100 * k}"{on("bold", k % 2 == 1)}{on("italic", k % 3 == 1)}><fontRef face="{r}"/></charPr></head>'
+    found = _blocks_of(spark, sf_dir, lambda k, n, r: samples.hwpx([n], more={"Contents/header.xml": head(k, r)}))
+    return found.select("doc_id", "text", "bold", "italic", "font_name", "font_size")
+
+
+def _tc(r: int, c: int, text: str, cols: int = 1, rows: int = 1) -> str:
+    return f'<hp:tc><hp:p><hp:run><hp:t>{text}</hp:t></hp:run></hp:p><hp:cellAddr rowAddr="{r}" colAddr="{c}"/><hp:cellSpan colSpan="{cols}" rowSpan="{rows}"/></hp:tc>'
+
+
+def _tbl(*rows: str) -> str:
+    return "<hp:tbl>" + "".join(f"<hp:tr>{x}</hp:tr>" for x in rows) + "</hp:tbl>"
+
+
+@query(_OF_NATIONS.format("'| a | ' || n_name || ' | c |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || r_name || ' |  | ' || n_nationkey || ' |' || chr(10) || chr(10) || '<table>' || chr(10) || '<tr><th colspan=\"2\">' || n_name || '</th><th></th></tr>' || chr(10) || '<tr><td></td><td></td><td>' || r_name || '</td></tr>' || chr(10) || '</table>' AS markdown"))
+def direct_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that say where they stand: in any order, with one missing, one written twice, and one below a merged cell."""
+
+    def write(k: int, n: str, r: str) -> bytes:
+        plain = _tbl(_tc(0, 2, "c") + _tc(0, 1, "lost") + _tc(0, 0, "a") + _tc(0, 1, n), _tc(1, 2, str(k)) + _tc(1, 0, r))
+        return samples.hwpx([], inner=plain + _tbl(_tc(0, 0, n, 2) + _tc(0, 1, "below"), _tc(1, 2, r)))
+
+    return _markdown(spark, sf_dir, write)
+
+
+@query(_OF_NATIONS.format("'| ' || n_name || ' $x+' || n_nationkey || '$ |  | c |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| d | e | ' || r_name || ' |' AS markdown"))
+def inline_math_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula keeps a table with merged cells from becoming HTML."""
+    return _markdown(spark, sf_dir, lambda k, n, r: samples.hwpx([], inner=_tbl(_tc(0, 0, f"{n} $x+{k}$", 2) + _tc(0, 2, "c"), _tc(1, 0, "d") + _tc(1, 1, "e") + _tc(1, 2, r))))
+
+
+@query(_OF_NATIONS.format("'| ' || n_name || ' | ' || r_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| k | ' || n_nationkey || ' |' AS markdown"))
+def hwp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markdown(spark, sf_dir, lambda k, n, r: samples.hwp([""], inner=samples.hwp_table([[n, r], ["k", str(k)]])))
+
+
+@query(_OF_NATIONS.format("'<table>' || chr(10) || '<tr><th rowspan=\"2\">' || n_name || '</th><th>' || r_name || '</th></tr>' || chr(10) || '<tr><td>' || n_nationkey || '</td></tr>' || chr(10) || '</table>' AS markdown"))
+def hwpml_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda r, c, text, rows=1: f'<CELL RowAddr="{r}" ColAddr="{c}" RowSpan="{rows}"><P><TEXT><CHAR>{text}</CHAR></TEXT></P></CELL>'
+
+    def write(k: int, n: str, r: str) -> bytes:
+        t = f'<TABLE RowCount="2" ColCount="2"><ROW>{cell(0, 0, n, 2)}{cell(0, 1, r)}</ROW><ROW>{cell(1, 1, k)}</ROW></TABLE>'
+        return samples.hwpml([]).replace(b"</SECTION>", t.encode() + b"</SECTION>")
+
+    return _markdown(spark, sf_dir, write)
+
+
+@query(_OF_NATIONS.format("'<table>' || chr(10) || '<tr><th rowspan=\"2\">' || n_name || '</th><th colspan=\"2\">' || r_name || '</th></tr>' || chr(10) || '<tr><td>x</td><td>' || n_nationkey || '</td></tr>' || chr(10) || '</table>' AS markdown"))
+def docx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda text, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+    def write(k: int, n: str, r: str) -> bytes:
+        first = cell(n, '<w:vMerge w:val="restart"/>') + cell(r, '<w:gridSpan w:val="2"/>')
+        return samples.docx([], inner=f'<w:tbl><w:tr>{first}</w:tr><w:tr>{cell("", "<w:vMerge/>")}{cell("x")}{cell(k)}</w:tr></w:tbl>')
+
+    return _markdown(spark, sf_dir, write)
+
+
+@query(_OF_NATIONS.format("'image_001.png' AS filename, 'image/png' AS mime_type, md5(n_name) AS digest, n_name || chr(10) || chr(10) || chr(10) || '![image](image_001.png)' AS markdown"))
+def hwpx_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture by the reference to its binary item, as a block and as a payload."""
+    docs = _nations(spark, sf_dir, lambda k, n, r: samples.hwpx([n], inner='<hp:p><hp:run><hp:pic><hp:img binaryItemIDRef="image1"/></hp:pic></hp:run></hp:p>', more={"BinData/image1.png": n}))
+    c = convert.Conversion(docs)
+    x = convert.images(c.rows).select("doc_id", "filename", "mime_type", F.md5("data").alias("digest"))
+    return x.join(c.results().select("doc_id", "markdown"), "doc_id")
+
+
+@query(_OF_NATIONS.format("r_name AS markdown, 3 AS page_count"))
+def select_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of three sections."""
+
+    def write(k: int, n: str, r: str) -> bytes:
+        items = "".join(f'<item id="section{i}" href="Contents/section{i}.xml"/>' for i in range(3))
+        refs = "".join(f'<itemref idref="section{i}"/>' for i in range(3))
+        text = lambda t: f"<sec><p><run><t>{t}</t></run></p></sec>"
+        parts = {f"Contents/section{i}.xml": text(t) for i, t in enumerate((n, r, str(k)))}
+        return samples.hwpx([], more={"Contents/content.hpf": f"<package><manifest>{items}</manifest><spine>{refs}</spine></package>", **parts})
+
+    return convert.parse(_nations(spark, sf_dir, write), "2").select("doc_id", "markdown", "page_count")
+
+
+@query(_OF_NATIONS.format("n_name || chr(10) || chr(10) || r_name AS markdown, 'BROKEN_ZIP_RECOVERY' AS code"))
+def hwpx_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that ends before its directory."""
+
+    def write(k: int, n: str, r: str) -> bytes:
+        whole = samples.hwpx([n, r])
+        return whole[: whole.index(b"PK\x01\x02")]
+
+    c = convert.Conversion(_nations(spark, sf_dir, write))
+    return c.results().select("doc_id", "markdown").join(convert.warnings(c.rows).select("doc_id", "code"), "doc_id")
+
+
+@query(_OF_NATIONS.format("'| ' || n_nationkey || ' | ' || n_nationkey / 4.0 || ' | ' || CASE WHEN n_nationkey % 2 = 1 THEN 'TRUE' ELSE 'FALSE' END || ' | ' || n_name || ' |' AS line").replace("n_nationkey / 4.0", "CASE WHEN n_nationkey % 4 = 0 THEN (n_nationkey // 4)::VARCHAR ELSE (n_nationkey / 4.0)::VARCHAR END"))
+def xls_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers, fractions, booleans and text of a BIFF8 sheet, whose first rows are blank."""
+    out = _markdown(spark, sf_dir, lambda k, n, r: samples.xls("s", [[None], [None], [k, k / 4, k % 2 == 1, n]]))
+    return out.select("doc_id", F.element_at(F.filter(F.split("markdown", "\n"), lambda x: x.startswith("|")), 1).alias("line"))
+
+
+_REFUSED = [(1, "ENCRYPTED"), (2, "DRM_PROTECTED"), (3, "PARSE_ERROR"), (4, "ENCRYPTED"), (5, "ZIP_BOMB"), (6, "NO_SECTIONS"), (7, "CORRUPTED"), (8, "FILE_TOO_LARGE")]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, code FROM {values_sql(_REFUSED, 'doc_id, code')}")
+def refused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locked and protected files, one of too many parts, one without sections, a false signature and one that was not read for its size."""
+    many = samples.hwpx(["a"], more={f"x{i}": "" for i in range(501)})
+    locked = samples.hwpx(["a"], more={"META-INF/manifest.xml": "<m><encryption-data/></m>"})
+    blobs = [samples.hwp(["a"], flags=3), samples.hwp(["a"], flags=17), samples.hwp3(["a"], locked=True), locked, many, samples.compound({"FileHeader": b"HWP Document File".ljust(256, b"\0")}), samples.compound({"FileHeader": b"something else".ljust(256, b"\0")}), None]
+    docs = values(spark, [(i + 1, bytearray(b) if b else None, len(b) if b else scan.MAX_FILE + 1) for i, b in enumerate(blobs)], "doc_id long, content binary, length long")
+    return convert.parse(docs).select("doc_id", "code")
