@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.sources.xmltree import Node, parse
+from paperloom.sources.xmltree import Node, read
 
 # Words of the equation script and their LaTeX.
 WORDS = {
@@ -176,7 +176,7 @@ def _scripts(scripts: pd.Series) -> pd.Series:
 def _math_texts(elements: pd.Series) -> pd.Series:
     def one(v: str | None) -> str | None:
         try:
-            return None if v is None else office_math_latex(parse(v))
+            return None if v is None else office_math_latex(read(v))
         except ParseError:
             return None
 

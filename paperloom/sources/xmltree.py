@@ -41,15 +41,26 @@ class Node:
         return self.text + "".join(k.full_text() + k.tail for k in self.kids)
 
 
-def parse(raw: bytes | str) -> Node:
+def _text(raw: bytes | str) -> str:
     text = raw.decode("utf-8", "replace").lstrip("\ufeff") if isinstance(raw, bytes) else raw
-    text = re.sub(r"^\s*<\?xml[^>]*\?>", "", _DOCTYPE.sub("", text))
-    for repaired in (lambda: text, lambda: _ILLEGAL.sub("", _STRAY.sub("&amp;", text))):
-        try:
-            return Node(ET.fromstring(repaired()))
-        except ET.ParseError:
-            pass
-    return Node(_rebuilt(_ILLEGAL.sub("", text)))
+    return re.sub(r"^\s*<\?xml[^>]*\?>", "", _DOCTYPE.sub("", text))
+
+
+def read(raw: bytes | str) -> Node:
+    """Well-formed XML, but for stray references and characters that XML has not."""
+    text = _text(raw)
+    try:
+        return Node(ET.fromstring(text))
+    except ET.ParseError:
+        return Node(ET.fromstring(_ILLEGAL.sub("", _STRAY.sub("&amp;", text))))
+
+
+def parse(raw: bytes | str) -> Node:
+    """The same, and of other text what can be made of it."""
+    try:
+        return read(raw)
+    except ET.ParseError:
+        return Node(_rebuilt(_ILLEGAL.sub("", _text(raw))))
 
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<(?P<end>/?)(?P<name>[\w:.-]+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<alone>/?)>", re.DOTALL)
