@@ -23,3 +23,23 @@ def test_long_lines_come_back_whole(spark, folder, name):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(folder)).select("doc_id", "ord", "heading", "digest").collect())
     assert got == sorted(con.sql(f"SELECT doc_id, ord, heading, digest FROM ({queries.ORACLE_SQL[name]})").fetchall())
+
+
+def test_python_takes_few_files_at_a_time(spark):
+    """One batch of files has 2 MB or so, however many there are, and the rows of small files come back together."""
+    import pyarrow as pa
+
+    from paperloom.sources import decode, samples
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(500), pa.int64()), "coarse": pa.array(["hwpml"] * 500), "content": pa.array([samples.hwpml(["x" * 9000])] * 500, pa.binary())})
+    sizes = [(x.num_rows, x.nbytes) for x in decode._decode(iter([batch]))]
+    assert 3 < len(sizes) < 10 and sum(n for n, _ in sizes) == 1500 and max(b for _, b in sizes) < 3 << 20
+
+    decode.read(spark.createDataFrame([], "doc_id long, content binary")).unpersist()
+    files = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 20000) AS content")
+
+    def count(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])}) for b in batches)
+
+    taken = [r.n for r in files.mapInArrow(count, "n long").collect()]
+    assert sum(taken) > 40_000_000 and max(taken) < 5 << 20
