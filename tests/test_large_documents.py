@@ -43,3 +43,17 @@ def test_python_takes_few_files_at_a_time(spark):
 
     taken = [r.n for r in files.mapInArrow(count, "n long").collect()]
     assert sum(taken) > 40_000_000 and max(taken) < 5 << 20
+
+
+def test_forms_without_rows_have_no_branch(spark):
+    """Plain paragraphs need no look-up of links, notes, lists or fonts, and no tables."""
+    from paperloom.plans import convert
+    from paperloom.sources import decode, samples
+
+    docs = spark.createDataFrame([(1, bytearray(samples.docx(["a", "b"], frozenset([0]))))], "doc_id long, content binary")
+    rows = decode.read(docs)
+    assert convert.present(rows) == {"paragraph", "style", "document"}
+    found, grids = convert.blocks(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "Window" not in plan and grids.count() == 0
+    assert [(r.type, r.level, r.text) for r in found.orderBy("ord").collect()] == [("heading", 1, "a"), ("paragraph", None, "b")]
